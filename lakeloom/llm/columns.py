@@ -1,0 +1,17 @@
+"""Column names that can't clash with a caller's."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Each wanted name, with underscores added until no column of df has it (case is ignored)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
