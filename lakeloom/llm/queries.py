@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, sharding
+from . import html_text, line_dedup, mixing, packing, quality_cnn, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,31 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, [domain(F.col("source")), F.col("lang"), F.col("source")], mixing.tokens(F.col("text")), "doc_id", weights=WEIGHTS)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_mixing)}
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+SEQUENCE_TOKENS = 2048
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", mixing.tokens(F.col("text")), SEQUENCE_TOKENS)
+
+
+QUALITY_AT_LEAST = 0.5
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_cnn.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_cnn.score(docs, model, ["doc_id"])
+    return scored.withColumn("keep", F.coalesce(F.col("quality") >= QUALITY_AT_LEAST, F.lit(False)))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_mixing, op4_html_text, op5_packing, op8_quality, op9_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
