@@ -65,21 +65,28 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c["a"][keep]), pa.array(c["b"][keep]), ids.take(pa.array(c["doc"][keep] + i)), pa.array(c["k"][keep].astype(np.int32))], ["a", "b", "id", "k"])
 
 
-def _repeated_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated_bytes(id_at: int, text_at: int):
     """For documents with ks, the chunks that may repeat: a, b, id, k, bytes."""
-    for batch in batches:
-        ids, out = batch.column(0), ([], [], [], [], [])
-        data, offs = K.flat(batch.column(1))
-        for row, ks in enumerate(batch.column(2).to_pylist()):
-            d = data[offs[row] : offs[row + 1]]
-            c = line_chunks(d, np.array([0, len(d)]))
-            for k in sorted(ks):
-                out[0].append(int(c["a"][k]))
-                out[1].append(int(c["b"][k]))
-                out[2].append(row)
-                out[3].append(k)
-                out[4].append(d[c["start"][k] : c["end"][k]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), ids.take(pa.array(out[2], pa.int64())), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["a", "b", "id", "k", "bytes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(id_at), ([], [], [], [], [])
+            data, offs = K.flat(batch.column(text_at))
+            for row, ks in enumerate(batch.column(text_at + 1).to_pylist()):
+                if not ks:
+                    continue
+                d = data[offs[row] : offs[row + 1]]
+                c = line_chunks(d, np.array([0, len(d)]))
+                for k in sorted(ks):
+                    if k < len(c["k"]):  # else the chunk is of another row of this id
+                        out[0].append(int(c["a"][k]))
+                        out[1].append(int(c["b"][k]))
+                        out[2].append(row)
+                        out[3].append(k)
+                        out[4].append(d[c["start"][k] : c["end"][k]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), ids.take(pa.array(out[2], pa.int64())), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["a", "b", "id", "k", "bytes"])
+
+    return run
 
 
 def _cut(text_at: int, ks_at: int):
@@ -94,8 +101,7 @@ def _cut(text_at: int, ks_at: int):
                     removed.append(0)
                     continue
                 c = line_chunks(d, np.array([0, len(d)]), False)
-                stay = np.ones(len(c["k"]), bool)
-                stay[ks] = False
+                stay = ~np.isin(c["k"], ks)
                 texts.append(b"".join(d[s:e].tobytes() for s, e in zip(c["start"][stay], c["full"][stay], strict=True)).decode())
                 removed.append(int(c["lines"][~stay].sum()))
             cols = [x for j, x in enumerate(batch.columns) if j not in (text_at, ks_at)]
@@ -118,20 +124,26 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     chunks = src.mapInArrow(_digests, f"a bigint, b bigint, id {id_type}, k int")
     digests = chunks.groupBy("a", "b").agg(F.collect_list(F.struct("id", "k")).alias("at")).filter("size(at) > 1")
     at = scratch.keep(digests.select("a", "b", F.explode("at").alias("x")).select("a", "b", "x.id", "x.k"), "at")
-    lists = at.groupBy("id").agg(F.collect_set("k").alias("ks"))
-    members = src.join(lists, "id").mapInArrow(_repeated_bytes, f"a bigint, b bigint, id {id_type}, k int, bytes binary")
-    firsts = at.groupBy("a", "b").agg(F.min(F.struct("id", "k")).alias("x")).select("a", "b", F.col("x.id").alias("id0"), F.col("x.k").alias("k0"))
-    tagged = members.join(firsts, ["a", "b"])
+    rest = [c for c in df.columns if c not in (text_col, "removed_lines")]
+    n, id_at = len(rest), rest.index(id_col)
+    base = df.select(*[df[c].alias(f"c{j}") for j, c in enumerate(rest)], df[text_col].alias("_text"))
+    names_types = [f"c{j} {df.schema[c].dataType.simpleString()}" for j, c in enumerate(rest)]
+
+    def with_lists(lists: DataFrame) -> DataFrame:
+        # both times the same exchange of the documents by id, which Spark runs once
+        lists = lists.select(F.col("id").alias("_id"), F.col("ks").alias("_ks")).hint("merge")
+        return base.join(lists, F.col(f"c{id_at}") == F.col("_id"), "left").drop("_id")
+
+    members = with_lists(at.groupBy("id").agg(F.collect_set("k").alias("ks"))).mapInArrow(_repeated_bytes(id_at, n), f"a bigint, b bigint, id {id_type}, k int, bytes binary")
+    firsts = at.groupBy("a", "b").agg(F.min(F.struct("id", "k")).alias("x")).select("a", "b", F.col("x.id").alias("id0"), F.col("x.k").alias("k0")).hint("merge")
     is_first = (F.col("id") == F.col("id0")) & (F.col("k") == F.col("k0"))
-    tagged = scratch.keep(tagged.withColumn("first", is_first), "members")
-    kept = tagged.filter("first").dropDuplicates(["a", "b"]).select("a", "b", F.col("bytes").alias("bytes0"))
+    tagged = members.join(firsts, ["a", "b"]).withColumn("first", is_first)
+    kept = tagged.filter("first").groupBy("a", "b").agg(F.min("bytes").alias("bytes0")).hint("merge")
     same = tagged.filter("not first").join(kept, ["a", "b"]).filter(F.col("bytes") == F.col("bytes0"))
-    gone = same.groupBy("id").agg(F.collect_set("k").alias("_ks")).withColumnRenamed("id", "_id")
-    rest = [c for c in df.columns if c not in (text_col, "removed_lines")]
-    joined = df.select(*[df[c].alias(f"c{j}") for j, c in enumerate(rest)], df[text_col].alias("_text")).join(gone, F.col(f"c{rest.index(id_col)}") == F.col("_id"), "left").drop("_id")
-    schema = ", ".join([*(f"c{j} {df.schema[c].dataType.simpleString()}" for j, c in enumerate(rest)), f"c{len(rest)} string, c{len(rest) + 1} int"])
-    out = joined.mapInArrow(_cut(len(rest), len(rest) + 1), schema)
-    text, removed = F.col(f"c{len(rest)}"), F.col(f"c{len(rest) + 1}")
+    gone = same.groupBy("id").agg(F.collect_set("k").alias("ks"))
+    schema = ", ".join([*names_types, f"c{n} string, c{n + 1} int"])
+    out = with_lists(gone).mapInArrow(_cut(n, n + 1), schema)
+    text, removed = F.col(f"c{n}"), F.col(f"c{n + 1}")
     out = out.filter((removed == 0) | (F.length(F.trim(F.regexp_replace(text, "[\\n\\r\\t]", " "))) > 0))
     names = {c: f"c{j}" for j, c in enumerate(rest)} | {text_col: f"c{len(rest)}"}
     return out.select(*[F.col(names[c]).alias(c) for c in df.columns if c in names], removed.alias("removed_lines"))
