@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, mixing, packing, quality_cnn, sharding, substring_dedup
+from . import html_text, line_dedup, mixing, near_dedup, packing, quality_cnn, sharding, spotsigs, substring_dedup, vector_graph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", mixing.tokens(F.col("text")), SEQUENCE_TOKENS)
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.similar_pairs(table(spark, sf_dir, "documents"))
+
+
+def op7_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUALITY_AT_LEAST = 0.5
 
 
@@ -66,6 +74,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_mixing, op4_html_text, op5_packing, op8_quality, op9_substring_dedup)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_mixing, op4_html_text, op5_packing, op6_spotsigs, op7_vector_graph, op8_quality, op9_substring_dedup, op10_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
