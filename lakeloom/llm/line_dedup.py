@@ -126,7 +126,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     at = scratch.keep(digests.select("a", "b", F.explode("at").alias("x")).select("a", "b", "x.id", "x.k"), "at")
     rest = [c for c in df.columns if c not in (text_col, "removed_lines")]
     n, id_at = len(rest), rest.index(id_col)
-    base = df.select(*[df[c].alias(f"c{j}") for j, c in enumerate(rest)], df[text_col].alias("_text"))
+    base = df.select(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(rest)], F.col(f"`{text_col}`").alias("_text"))
     names_types = [f"c{j} {df.schema[c].dataType.simpleString()}" for j, c in enumerate(rest)]
 
     def with_lists(lists: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import fresh
 from .scratch import Scratch
 
 
@@ -81,14 +80,13 @@ def lpt_shards(df: DataFrame, keys: list[Column], size: Column, id_col: str, n_s
     spark = df.sparkSession
     scratch = Scratch(spark, "lpt")
     parts = [c for k in keys for c in (F.coalesce(k.cast("string"), F.lit("")), k.isNull().cast("string"))]
-    (gid, gsize) = fresh(df.select(id_col), "_g", "_n")
-    rows = scratch.keep(df.select(F.col(id_col), F.unhex(F.md5(F.concat_ws("\x01", *parts))).alias(gid), F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0)).alias(gsize)), "rows")
-    groups = scratch.keep(rows.groupBy(gid).agg(F.sum(gsize).alias(gsize)), "groups")
-    histogram = [(r[0], r[1]) for r in groups.groupBy(gsize).count().collect()]
+    rows = scratch.keep(df.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.concat_ws("\x01", *parts))).alias("g"), F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0)).alias("n")), "rows")
+    groups = scratch.keep(rows.groupBy("g").agg(F.sum("n").alias("n")), "groups")
+    histogram = [(r[0], r[1]) for r in groups.groupBy("n").count().collect()]
     segments = lpt_segments(histogram, n_shards)
-    plan = spark.createDataFrame(segments or [(0, 0, 0, [0])], "_size bigint, _from bigint, _ranks bigint, _cycle array<int>")
-    ranked = groups.withColumn("_rank", F.row_number().over(Window.partitionBy(gsize).orderBy(gid)).cast("bigint") - 1)
-    placed = ranked.join(plan, (ranked[gsize] == plan["_size"]) & (ranked["_rank"] >= plan["_from"]) & (ranked["_rank"] < plan["_from"] + plan["_ranks"]))
-    shard = F.element_at("_cycle", (F.pmod(F.col("_rank") - F.col("_from"), F.size("_cycle")) + 1).cast("int"))
-    placed = placed.select(gid, F.col("_size").alias("_group_size"), shard.alias("_shard"))
-    return rows.select(id_col, gid).join(placed, gid).select(F.col(id_col), F.col("_group_size").alias("group_size"), F.col("_shard").alias("shard"))
+    plan = spark.createDataFrame(segments or [(0, 0, 0, [0])], "size bigint, first bigint, ranks bigint, cycle array<int>")
+    ranked = groups.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy("g")).cast("bigint") - 1)
+    placed = ranked.join(plan, (F.col("n") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("ranks")))
+    shard = F.element_at("cycle", (F.pmod(F.col("rank") - F.col("first"), F.size("cycle")) + 1).cast("int"))
+    placed = placed.select("g", F.col("size").alias("group_size"), shard.alias("shard"))
+    return rows.select("id", "g").join(placed, "g").select(F.col("id").alias(id_col), "group_size", "shard")
