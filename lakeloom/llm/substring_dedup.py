@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash over 16 bytes ends a chunk where it is below CUT and no other such place lies in the MIN_CHUNK bytes
-before: both depend on nearby bytes only, so chunks fall in step again right after an insertion. Chunks are
+before: both depend on nearby bytes only, so chunks fall in step again right after an insertion. No chunk but a whole
+document is shorter than MIN_CHUNK. Chunks are
 compared by a 128-bit digest; an occurrence other than the first, in order of (id, start), is a repeat. Runs of
 adjoining repeats of MIN_RUN bytes or more are removed.
 """
@@ -31,8 +32,8 @@ def chunk_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     raw = np.flatnonzero(K.gear16(data) < CUT) + 1
-    base = offs[np.searchsorted(offs, raw - 1, "right") - 1]
-    raw = raw[raw - base >= MIN_CHUNK]
+    at = np.searchsorted(offs, raw - 1, "right")
+    raw = raw[(raw - offs[at - 1] >= MIN_CHUNK) & (offs[at] - raw >= MIN_CHUNK)]
     if len(raw):
         base = offs[np.searchsorted(offs, raw - 1, "right") - 1]
         before = np.append(-MIN_CHUNK, raw[:-1])
@@ -107,7 +108,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """df with the repeats cut out of text_col, removed_bytes (int) and repeated_from (ids where the kept text is).
 
     Every row of df is returned. Null and empty texts stay as they are, rows with a null id are neither searched nor
-    cut, and rows that share an id count as one document. A document all of whose text is kept elsewhere is left with ''. Repeats
+    cut, and rows that share an id count as one document. Documents shorter than MIN_CHUNK bytes stay. A document all of whose text is kept elsewhere is left with ''. Repeats
     inside one document count too. Other columns are carried; columns named removed_bytes or repeated_from are replaced.
     """
     id_type = df.schema[id_col].dataType.simpleString()

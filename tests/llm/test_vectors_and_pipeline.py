@@ -1,0 +1,90 @@
+import numpy as np
+
+from lakeloom.llm import components, vector_graph
+from lakeloom.llm.scratch import Scratch
+
+
+def test_graph_recall_against_brute_force(spark):
+    r = np.random.default_rng(1)
+    x = r.standard_normal((3000, 32))
+    hot = x[0] + 0.1 * r.standard_normal((250, 32))
+    few = x[1:41] + 0.1 * r.standard_normal((40, 32))
+    x = np.concatenate([x, hot, few, x[100:110]])
+    rows = [(i, [float(z) for z in v], 1) for i, v in enumerate(x)]
+    nan = float("nan")
+    odd = [(90000, None, 1), (90001, [], 1), (90002, [0.0] * 32, 1), (90003, [nan] * 32, 1), (90004, [1.0] * 5, 1), (90005, [None] * 32, 1), (None, rows[0][1], 1), (7, rows[7][1], 1)]
+    df = spark.createDataFrame(rows + odd, "vec_id int, embedding array<double>, id_a int")
+    got = {(p.id_a, p.id_b): p.cosine for p in vector_graph.similar_vectors(df, shard_rows=600).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(s, 1) >= 0.95), strict=True)}
+    assert len(true) > 10000
+    assert len(true & got.keys()) / len(true) >= 0.95
+    assert all(abs(c - s[k]) < 1e-4 and c >= 0.95 - 1e-6 for k, c in got.items())
+    assert vector_graph.similar_vectors(df.limit(0)).collect() == []
+
+
+def test_robust_rule():
+    r = np.random.default_rng(2)
+    x = vector_graph.unit(r.standard_normal((60, 8))).astype(np.float32)
+    got = vector_graph.prune(x, np.arange(60), np.tile(np.arange(60), (60, 1)), 5)
+    for p in range(60):
+        d = np.linalg.norm(x - x[p], axis=1)
+        left, want = [c for c in np.argsort(d, kind="stable") if c != p], []
+        while left and len(want) < 5:
+            c = left.pop(0)
+            want.append(c)
+            left = [y for y in left if vector_graph.ALPHA * np.linalg.norm(x[c] - x[y]) > d[y]]
+        assert got[p][got[p] >= 0].tolist() == want
+
+
+def test_components(spark):
+    r = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1060)]
+    parent = {v: v for e in edges for v in e}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {x.v: x.root for x in components.components(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark, "t")).collect()}
+    assert got == {v: root(v) for v in parent if root(v) != v}
+    assert components.components(spark.createDataFrame([], "u bigint, v bigint"), Scratch(spark, "t")).collect() == []
+
+
+def test_pipeline_stages_against_their_own_rules(spark, tmp_path):
+    import corpus_pipeline as P
+    from lakeloom.llm import line_dedup, mixing, near_dedup
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    columns, before = docs.columns, docs
+    kept = {}
+    for k, (name, f) in enumerate(P.STAGES):
+        out = f(spark, before, d)
+        if k < len(P.STAGES) - 1:
+            assert out.columns == columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        kept[name] = spark.read.parquet(f"{tmp_path}/{name}")
+        before = kept[name]
+    ids = lambda n: {x.doc_id for x in kept[n].select("doc_id").collect()}
+    labels = {x.doc_id: x.quality for x in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    good = {i for i, q in labels.items() if q == 1 and q is not None} & {x.doc_id for x in docs.collect()}
+    assert len(good & ids("quality")) / len(good) > 0.95
+    want = line_dedup.dedup_lines(kept["quality"])
+    assert {(x.doc_id, x.text) for x in want.collect()} == {(x.doc_id, x.text) for x in kept["line_dedup"].collect()}
+    assert all(x.n_chars == len(x.text) for x in kept["line_dedup"].collect())
+    groups = near_dedup.near_groups(kept["line_dedup"]).collect()
+    assert ids("near_dedup") == ids("line_dedup") - {i for g in groups for i in g.ids[1:]}
+    n = {x.doc_id: x.n for x in kept["near_dedup"].select("doc_id", mixing.tokens(kept["near_dedup"].text).alias("n")).collect()}
+    taken = sum(n[i] for i in ids("mixing"))
+    assert ids("mixing") <= n.keys() and taken >= P.MIX_FRACTION * sum(n.values()) * 0.999 - 200
+    packed = kept["packing"].collect()
+    assert {x.doc_id for x in packed} == ids("mixing")
+    assert sum(x.length for x in packed) == taken
+    again = {tuple(x) for x in P.run(spark, d).collect()}
+    assert {x[:4] for x in again} == {tuple(x)[:4] for x in packed}
