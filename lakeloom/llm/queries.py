@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, mixing, near_dedup, packing, quality_cnn, sharding, spotsigs, substring_dedup, vector_graph
+from . import html_text, line_dedup, mixing, near_dedup, oracle, packing, quality_cnn, sharding, spotsigs, substring_dedup, vector_graph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,4 +80,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_mixing, op4_html_text, op5_packing, op6_spotsigs, op7_vector_graph, op8_quality, op9_substring_dedup, op10_near_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": oracle.sharding(N_SHARDS), "op6_spotsigs": oracle.spot_pairs()}
