@@ -21,7 +21,8 @@ def gcd(a: Column, b: Column) -> Column:
 def lcm(a: Column, b: Column) -> Column:
     """The least common multiple; 0 if either is 0."""
     g = gcd(a, b)
-    return F.when((a == 0) | (b == 0), F.lit(0).cast("bigint")).otherwise(F.abs(F.expr("1").cast("bigint") * (a.cast("bigint") / F.nullif(g, F.lit(0))).cast("bigint") * b.cast("bigint")))
+    whole = F.call_function("div", a.cast("bigint"), F.nullif(g, F.lit(0)))
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("bigint")).otherwise(F.abs(whole * b.cast("bigint")))
 
 
 def trunc_number(x: Column, digits: int = 0) -> Column:
