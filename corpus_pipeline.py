@@ -52,7 +52,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("line_dedup", lines), ("near_dedup", near), ("mixing", mixture), ("packing", packed)]
 
-#: The classifier and the sketches are beyond SQL; the pipeline is tested against a brute-force version.
+#: The classifier and the sketches are beyond SQL; each operator is tested against brute force, each stage against its rule.
 ORACLE_SQL = None
 
 
