@@ -7,15 +7,19 @@ elsewhere, once its bytes have been compared with the first occurrence's.
 
 Passes: (1) digests only, 16 bytes a chunk; (2) the bytes of the chunks whose digest repeats;
 (3) the documents, cut. Only pass 3 and the repeats of pass 2 move text.
+
+dedup_line_runs needs no chunks: every two adjacent lines are a window, and the lines of a window seen before go, which
+is each line of every repeated run of two or more lines. Passes: (1) 128-bit BLAKE2b digests of the windows; (2) the documents, cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytes_kernel as K
@@ -147,3 +151,92 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     out = out.filter((removed == 0) | (F.length(F.trim(F.regexp_replace(text, "[\\n\\r\\t]", " "))) > 0))
     names = {c: f"c{j}" for j, c in enumerate(rest)} | {text_col: f"c{len(rest)}"}
     return out.select(*[F.col(names[c]).alias(c) for c in df.columns if c in names], removed.alias("removed_lines"))
+
+
+def line_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and end without the newline of each line of one text."""
+    full = np.flatnonzero(data == 10) + 1
+    if len(data) and (not len(full) or full[-1] < len(data)):
+        full = np.append(full, len(data))
+    start = np.append(0, full[:-1]) if len(full) else full
+    return start, full, full - (data[full - 1] == 10) if len(full) else full
+
+
+def _digest(text: bytes, start: int, end: int) -> bytes | None:
+    """Of the two lines there; None if both are blank."""
+    window = text[start:end]
+    return blake2b(window, digest_size=16).digest() if window.strip() else None
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offs = K.flat(batch.column(1))
+        ids = batch.column(0)
+        for i, j, d, o in K.blocks(data, offs):
+            digests, rows, ks = [], [], []
+            for row in range(j - i):
+                mine = d[o[row] : o[row + 1]]
+                text = mine.tobytes()
+                start, _, bare = line_bounds(mine)
+                for k, (s, e) in enumerate(zip(start[:-1].tolist(), bare[1:].tolist(), strict=True)):
+                    if (x := _digest(text, s, e)) is not None:
+                        digests.append(x)
+                        rows.append(i + row)
+                        ks.append(k)
+            ab = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), ids.take(pa.array(rows, pa.int64())), pa.array(ks, pa.int32())], ["a", "b", "id", "k"])
+
+
+def _cut_lines(text_at: int, gone_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, removed = [], []
+            data, offs = K.flat(batch.column(text_at))
+            for row, (gone, there) in enumerate(zip(batch.column(gone_at).to_pylist(), batch.column(text_at).is_valid().to_pylist(), strict=True)):
+                d = data[offs[row] : offs[row + 1]]
+                text = d.tobytes()
+                if not gone:
+                    texts.append(text if there else None)
+                    removed.append(0)
+                    continue
+                start, full, bare = line_bounds(d)
+                stay = np.ones(len(start), bool)
+                for x in gone:
+                    k = x["k"]
+                    # else the window is of another row of this id
+                    if k + 1 < len(start) and (y := _digest(text, start[k], bare[k + 1])) is not None and tuple(np.frombuffer(y, np.int64).tolist()) == (x["a"], x["b"]):
+                        stay[k : k + 2] = False
+                texts.append(b"".join(text[s:e] for s, e in zip(start[stay].tolist(), full[stay].tolist(), strict=True)))
+                removed.append(int((~stay).sum()))
+            cols = [x for j, x in enumerate(batch.columns) if j not in (text_at, gone_at)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(removed, pa.int32())], [f"c{j}" for j in range(len(cols) + 2)])
+
+    return run
+
+
+def dedup_line_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df without repeated runs of two or more lines, and with removed_lines (int) as its last column.
+
+    A window of two adjacent lines stays where it first occurs, in order of (id, line); the lines of its other occurrences go,
+    but for those that overlap the first in its own document. So every line's text stays where it first occurs, though
+    the lines of one run may stay in several documents. Windows of blank lines only don't count.
+    Null and empty texts stay; a document that had text and has none left is dropped. Rows with a null id stay untouched
+    and are not counted. Rows that share an id are each cut where they hold what is removed under that id at the same line.
+    Other columns are carried; a column named removed_lines is replaced.
+    """
+    id_type = df.schema[id_col].dataType.simpleString()
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    same = Window.partitionBy("a", "b")
+    marked = src.mapInArrow(_windows, f"a bigint, b bigint, id {id_type}, k int").withColumn("first", F.min(F.struct("id", "k")).over(same))
+    again = marked.filter("id <> first.id or k >= first.k + 2")
+    gone = again.groupBy("id").agg(F.collect_list(F.struct("k", "a", "b")).alias("_gone")).withColumnRenamed("id", "_id")
+    rest = [c for c in df.columns if c not in (text_col, "removed_lines")]
+    n = len(rest)
+    base = df.select(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(rest)], F.col(f"`{text_col}`").alias("_text"))
+    joined = base.join(gone, F.col(f"c{rest.index(id_col)}") == F.col("_id"), "left").drop("_id")
+    schema = ", ".join([*(f"c{j} {df.schema[c].dataType.simpleString()}" for j, c in enumerate(rest)), f"c{n} string, c{n + 1} int"])
+    out = joined.mapInArrow(_cut_lines(n, n + 1), schema)
+    text, removed = F.col(f"c{n}"), F.col(f"c{n + 1}")
+    out = out.filter((removed == 0) | (F.length(F.trim(F.regexp_replace(text, "[\\n\\r\\t]", " "))) > 0))
+    names = {c: f"c{j}" for j, c in enumerate(rest)} | {text_col: f"c{n}"}
+    return out.select(*[F.col(names[c]).alias(c) for c in df.columns if c in names], removed.alias("removed_lines"))

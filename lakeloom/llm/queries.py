@@ -23,7 +23,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_line_runs(table(spark, sf_dir, "documents"))
 
 
 #: Weights of nodes of the tree domain / language / source; every other node weighs 1.

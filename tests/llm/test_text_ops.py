@@ -160,6 +160,63 @@ def test_line_dedup_repeated_rows(spark):
     assert [x.removed_lines for x in line_dedup.dedup_lines(frame(spark, rows)).collect()] in ([0, 0],)
 
 
+def test_line_runs_equal_brute_force(spark):
+    r = random.Random(9)
+    pool = [prose(r, 8) for _ in range(400)] + ["", " "]
+    block = pool[:30]
+    rows = []
+    for i in range(60):
+        k = r.randint(0, 26)
+        passage = block[k : k + r.randint(2, 4)] if i % 3 == 0 else []
+        rows.append((i, "\n".join([r.choice(pool) for _ in range(r.randint(0, 6))] + passage + [prose(r, 5)])))
+    rows += [(100, rows[0][1]), (101, rows[0][1] + "\n"), (102, None), (103, ""), (104, "\n\n"), (None, rows[0][1]), (105, "solo\n"), (106, "\n".join(block * 30)), (107, "a\na\na\na\na"), (108, "x y\n\n\n\nz"), (109, "x y\n\n\n\nz")]
+    r.shuffle(rows)
+    lines = {i: t.split("\n")[: -1 if t.endswith("\n") else None] for i, t in rows if i is not None and t}
+    # every earlier, not overlapping place of every run of two or more lines
+    places = [(i, k) for i in sorted(lines) for k in range(len(lines[i]))]
+    at = defaultdict(list)
+    for i, k in places:
+        at[lines[i][k]].append((i, k))
+    gone = defaultdict(set)
+    for i, k in places:
+        for j, m in at[lines[i][k]]:
+            n = 0
+            while (j, m + n) < (i, k) and k + n < len(lines[i]) and m + n < len(lines[j]) and lines[i][k + n] == lines[j][m + n]:
+                n += 1
+            for x in range(k, k + n - 1):
+                if (lines[i][x] + lines[i][x + 1]).strip():
+                    gone[i] |= {x, x + 1}
+    want = {}
+    for i, t in rows:
+        cut = gone[i] if i is not None else set()
+        text = "".join(x for k, x in enumerate(t.splitlines(keepends=True)) if k not in cut) if cut else t
+        if not cut or text.strip():
+            want[i] = (text, len(cut))
+    df = frame(spark, rows)
+    out = line_dedup.dedup_line_runs(df)
+    assert out.columns == [*df.columns, "removed_lines"]
+    assert {x.doc_id: (x.text, x.removed_lines) for x in out.collect()} == want
+    assert 100 not in want and 101 not in want and want[107] == ("a\na\n", 3)
+    assert sum(n > 0 for _, n in want.values()) > 10
+    assert line_dedup.dedup_line_runs(frame(spark, [])).collect() == []
+    shared = [(1, "p q\nr s"), (2, "p q\nr s\nt"), (2, "u v\nw x\ny"), (2, None)]
+    assert {(x.text, x.removed_lines) for x in line_dedup.dedup_line_runs(frame(spark, shared)).collect()} == {("p q\nr s", 0), ("t", 2), ("u v\nw x\ny", 0), (None, 0)}
+
+
+def test_op2_removes_every_repeated_run(spark):
+    from lakeloom.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    docs = {x.doc_id: x.text.encode().split(b"\n") for x in spark.read.parquet(f"{d}/documents.parquet").filter("text <> ''").collect()}
+    seen, again = set(), 0
+    for i in sorted(docs):
+        pairs = list(zip(docs[i], docs[i][1:], strict=False))
+        again += len({x for k, p in enumerate(pairs) if p in seen for x in (k, k + 1)})
+        seen |= set(pairs)
+    left = {x.doc_id: x.removed_lines for x in queries.op2_line_dedup(spark, d).select("doc_id", "removed_lines").collect()}
+    assert sum(left.values()) + sum(len(docs[i]) for i in docs if i not in left) >= again > 0
+
+
 # --- substring dedup
 
 
