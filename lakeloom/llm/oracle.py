@@ -40,3 +40,9 @@ e AS (SELECT id, n, unnest(spots) AS spot FROM rep),
 j AS (SELECT x.id AS id_a, y.id AS id_b, CAST(count(*) AS DOUBLE) AS both_, any_value(x.n) + any_value(y.n) AS sizes FROM e x JOIN e y ON x.spot = y.spot AND x.id < y.id GROUP BY x.id, y.id)
 SELECT id_a, id_b, both_ / (sizes - both_) AS jaccard FROM j WHERE both_ / (sizes - both_) >= {threshold} - 1e-9
 UNION ALL SELECT id AS id_a, x AS id_b, CAST(1 AS DOUBLE) AS jaccard FROM (SELECT id, unnest(ids) AS x FROM rep) t WHERE x <> id"""
+
+
+def all_spot_pairs(threshold: float = 0.5) -> str:
+    """The same for every document with a spot, and equal texts for those without."""
+    return f"""{spot_pairs(threshold, 1)}
+UNION ALL SELECT id_a, doc_id AS id_b, CAST(1 AS DOUBLE) AS jaccard FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS id_a FROM documents WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM f WHERE doc_id IS NOT NULL)) t WHERE doc_id <> id_a"""

@@ -111,3 +111,26 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = candidates.join(a, "ia").join(b, "ib").select("ia", "ib", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9)
     pairs = verified.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "jaccard")
     return pairs.unionByName(copies)
+
+
+def _bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text has no spot."""
+    for batch in batches:
+        data, offs = K.flat(batch.column(1))
+        none = np.ones(batch.num_rows, bool)
+        for i, _, d, o in K.blocks(data, offs):
+            none[i + spots(d, o)[1]] = False
+        yield batch.filter(pa.array(none))
+
+
+def all_similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """similar_pairs of every document that has a spot, and of the others those of equal text.
+
+    Documents without a spot have no fingerprint: those of one text are listed as pairs of their least id and each other one,
+    with 1.0. Only null and empty texts and rows with a null id are in no pair.
+    """
+    id_type = df.schema[id_col].dataType.simpleString()
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text <> ''")
+    bare = src.mapInArrow(_bare, f"id {id_type}, text string").select("id", F.sha2("text", 256).alias("h"))
+    equal = bare.withColumn("id_a", F.min("id").over(Window.partitionBy("h"))).filter("id <> id_a").select("id_a", F.col("id").alias("id_b")).distinct()
+    return similar_pairs(df, id_col, text_col, threshold, 1).unionByName(equal.withColumn("jaccard", F.lit(1.0)))

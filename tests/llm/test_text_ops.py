@@ -308,6 +308,26 @@ def test_spotsigs_equal_brute_force(spark, corpus):
     assert spotsigs.similar_pairs(frame(spark, [])).collect() == []
 
 
+def test_all_spot_pairs_equal_sql(spark):
+    import duckdb
+
+    from lakeloom.llm import oracle
+
+    few, none = "the red fox, a blue whale", "item 7; item 9"
+    docs = [(1, few), (2, few), (3, "the red fox"), (4, none), (5, none), (6, none.upper()), (7, None), (8, None), (9, ""), (10, ""), (11, "was here now"), (12, "is gone far"), (13, "the red fox")]
+    got = sorted((x.id_a, x.id_b, x.jaccard) for x in spotsigs.all_similar_pairs(frame(spark, [*docs, (None, none)])).collect())
+    assert got == [(1, 2, 1.0), (1, 3, 0.5), (3, 13, 1.0), (4, 5, 1.0)]
+    r = random.Random(3)
+    for i in range(200):
+        t = " ".join(r.choice(["the", "is", "x", "y", "z", "w", "of"]) for _ in range(r.randint(1, 14)))
+        docs += [(100 + 2 * i, t), (101 + 2 * i, t if i % 5 else t + " v")]
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]}))
+    want = sorted(db.execute(oracle.all_spot_pairs()).fetchall())
+    got = sorted((x.id_a, x.id_b, x.jaccard) for x in spotsigs.all_similar_pairs(frame(spark, docs)).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(got, want, strict=True))
+
+
 def test_near_groups_recall_and_precision(spark, corpus, monkeypatch):
     sets = {}
     for i, t in corpus:
