@@ -1,6 +1,6 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
-Vectors go to the shards of their OVERLAP nearest centroids. Each shard builds a graph: a node's nearest and some random
+Vectors of one direction are one point, since the robust rule would part them; their pairs are listed afterwards. Points go to the shards of their OVERLAP nearest centroids. Each shard builds a graph: a node's nearest and some random
 members are pruned by the robust rule (a candidate goes if a kept neighbour is ALPHA times nearer to it than the
 node is), reverse edges are added and pruned again. The adjacency lists of all shards are united. Every
 vector is then searched in its shards from the shard's medoid: a greedy beam search whose results in
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -209,6 +209,24 @@ def _searcher(least: float, beam: int):
     return run
 
 
+def _directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x = _matrix(batch.column(1).to_pylist())
+            offs = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel()))], ["id", "v"])
+
+
+def with_equals(pairs: DataFrame, equal: DataFrame) -> DataFrame:
+    """pairs of points as pairs of vectors: equal has (point, id) for each vector of the points that hold several."""
+    side = lambda e: equal.select(F.col("point").alias(f"p_{e}"), F.col("id").alias(f"i_{e}"))
+    a, b = (F.coalesce(f"i_{e}", f"id_{e}") for e in "ab")
+    out = pairs.join(side("a"), F.col("id_a") == F.col("p_a"), "left").join(side("b"), F.col("id_b") == F.col("p_b"), "left")
+    across = out.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"), "cosine")
+    inside = side("a").join(side("b"), F.col("p_a") == F.col("p_b")).filter("i_a < i_b").select(F.col("i_a").alias("id_a"), F.col("i_b").alias("id_b"), F.lit(1.0).alias("cosine"))
+    return across.unionByName(inside)
+
+
 def _brute(queries: np.ndarray, qids: list, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +269,12 @@ def similar_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()
     if not dims:
         return spark.createDataFrame([], f"id_a {id_type}, id_b {id_type}, cosine double")
-    clean = scratch.keep(rows.filter(F.size("v") == dims[0][0]).groupBy("id").agg(F.min("v").alias("v")), "clean")
+    single = rows.filter(F.size("v") == dims[0][0]).groupBy("id").agg(F.min("v").alias("v"))
+    same = Window.partitionBy("v")
+    every = single.mapInArrow(_directions, f"id {id_type}, v array<float>").withColumn("point", F.min("id").over(same)).withColumn("k", F.count("*").over(same))
+    every = scratch.keep(every, "every")
+    equal = every.filter("k > 1").select("point", "id")
+    clean = every.filter("id = point").select("id", "v")
     n = clean.count()
     fit = _matrix([r[0] for r in clean.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()])
     for attempt in range(attempts):
@@ -264,4 +287,4 @@ def similar_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         pairs = scratch.keep(found.groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine")), f"pairs{attempt}")
         if audit(clean, pairs, threshold) >= target:
             break
-    return pairs
+    return with_equals(pairs, equal)

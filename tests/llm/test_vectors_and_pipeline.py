@@ -24,6 +24,22 @@ def test_graph_recall_against_brute_force(spark):
     assert vector_graph.similar_vectors(df.limit(0)).collect() == []
 
 
+def test_equal_vectors_are_all_paired(spark):
+    r = np.random.default_rng(4)
+    base = r.standard_normal((500, 64)).astype(np.float32).astype(float)
+    near = base[1] + 0.01 * r.standard_normal(64)
+    rows = [*base, *[base[0]] * 59, *[base[1]] * 299, *[2 * base[2]] * 3, near, near]
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(rows)], "vec_id int, embedding array<double>")
+    u = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    s = u @ u.T
+    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(s, 1) >= 0.95), strict=True)}
+    assert len(true) == 60 * 59 // 2 + 302 * 301 // 2 + 4 * 3 // 2
+    for shard_rows in (2000, 600):
+        got = [(p.id_a, p.id_b, p.cosine) for p in vector_graph.similar_vectors(df, shard_rows=shard_rows, attempts=1).collect()]
+        assert len(got) == len(true) and {x[:2] for x in got} == true
+        assert all(abs(c - s[a, b]) < 1e-4 for a, b, c in got)
+
+
 def test_robust_rule():
     r = np.random.default_rng(2)
     x = vector_graph.unit(r.standard_normal((60, 8))).astype(np.float32)
