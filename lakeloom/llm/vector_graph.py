@@ -5,11 +5,13 @@ members are pruned by the robust rule (a candidate goes if a kept neighbour is A
 node is), reverse edges are added and pruned again. The adjacency lists of all shards are united. Every
 vector is then searched in its shards from the shard's medoid: a greedy beam search whose results in
 range go on expanding until no further neighbour is in range. Cosines are exact, so every reported pair is verified; recall is
-audited against brute force on a bounded sample of queries, and a run below the target is repeated with more overlap.
+audited against brute force on a sample of queries that grows until it has seen enough true pairs, up to a bound; a run below the
+target is repeated with more overlap, and what the last one misses, or too few pairs to tell, is a warning.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -240,17 +242,24 @@ def _brute(queries: np.ndarray, qids: list, least: float):
     return run
 
 
-def audit(clean: DataFrame, pairs: DataFrame, least: float, queries: int = 64) -> float:
-    """Share of the true pairs of a bounded sample of queries (the first by hash of the id) that pairs has."""
-    sample = clean.orderBy(F.xxhash64("id"), "id").limit(queries).collect()
-    if not sample:
-        return 1.0
-    qids = [r[0] for r in sample]
+def audit(clean: DataFrame, pairs: DataFrame, least: float, queries: int = 64, enough: int = 100, most: int = 4096) -> tuple[float, int, bool]:
+    """Share of the true pairs of a sample of queries (the first by hash of the id) that pairs has, their number, and whether that says enough.
+
+    The sample grows from queries to most until enough true pairs are seen; less says enough only where every vector was a query.
+    """
     id_type = clean.schema["id"].dataType.simpleString()
-    true = clean.mapInArrow(_brute(_matrix([r[1] for r in sample]), qids, least + 1e-6), f"q {id_type}, id {id_type}").filter("q <> id")
-    true = true.select(F.least("q", "id").alias("id_a"), F.greatest("q", "id").alias("id_b")).distinct()
-    row = true.join(pairs.select("id_a", "id_b", F.lit(1).alias("hit")), ["id_a", "id_b"], "left").agg(F.count("*"), F.count("hit")).collect()[0]
-    return row[1] / row[0] if row[0] else 1.0
+    while True:
+        sample = clean.orderBy(F.xxhash64("id"), "id").limit(queries).collect()
+        if not sample:
+            return 1.0, 0, True
+        qids = [r[0] for r in sample]
+        true = clean.mapInArrow(_brute(_matrix([r[1] for r in sample]), qids, least + 1e-6), f"q {id_type}, id {id_type}").filter("q <> id")
+        true = true.select(F.least("q", "id").alias("id_a"), F.greatest("q", "id").alias("id_b")).distinct()
+        row = true.join(pairs.select("id_a", "id_b", F.lit(1).alias("hit")), ["id_a", "id_b"], "left").agg(F.count("*"), F.count("hit")).collect()[0]
+        whole = len(sample) < queries
+        if row[0] >= enough or whole or queries >= most:
+            return (row[1] / row[0] if row[0] else 1.0), row[0], row[0] >= enough or whole
+        queries = min(most, queries * 8)
 
 
 def similar_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, shard_rows: int = 2000, overlap: int = 2, sample_rows: int = 20000, target: float = 0.95, attempts: int = 3) -> DataFrame:
@@ -285,6 +294,9 @@ def similar_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         union = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         found = shards.join(union, "id").groupBy("shard").applyInPandas(_searcher(threshold, BEAM * (attempt + 1)), f"id_a {id_type}, id_b {id_type}, cosine double")
         pairs = scratch.keep(found.groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine")), f"pairs{attempt}")
-        if audit(clean, pairs, threshold) >= target:
+        recall, seen, says = audit(clean, pairs, threshold)
+        if recall >= target:
             break
+    if recall < target or not says:
+        warnings.warn(f"similar_vectors: audited recall {recall:.3f} of {seen} true pairs, target {target}" + ("" if says else "; too few pairs were seen to tell"), stacklevel=2)
     return with_equals(pairs, equal)

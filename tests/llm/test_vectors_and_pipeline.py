@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import components, vector_graph
 from lakeloom.llm.scratch import Scratch
@@ -40,6 +42,22 @@ def test_equal_vectors_are_all_paired(spark):
         assert all(abs(c - s[a, b]) < 1e-4 for a, b, c in got)
 
 
+def test_audit_looks_until_pairs_are_seen_and_says_so(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.standard_normal((700, 32)), np.zeros((20, 32))])
+    x[700:] = x[0] + 0.01 * r.standard_normal((20, 32))
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "vec_id int, embedding array<float>")
+    clean = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    none = spark.createDataFrame([], "id_a int, id_b int")
+    recall, seen, says = vector_graph.audit(clean, none, 0.95, queries=1)
+    assert recall == 0 and 100 <= seen <= 210 and says
+    assert vector_graph.audit(clean, none, 0.95, queries=1, enough=300, most=8)[2] is False
+    for heard, said in (((0.5, 100, True), "audited recall 0.500 of 100 true pairs"), ((1.0, 3, False), "too few pairs")):
+        monkeypatch.setattr(vector_graph, "audit", lambda *_, x=heard: x)
+        with pytest.warns(UserWarning, match=said):
+            vector_graph.similar_vectors(df, attempts=1)
+
+
 def test_robust_rule():
     r = np.random.default_rng(2)
     x = vector_graph.unit(r.standard_normal((60, 8))).astype(np.float32)
