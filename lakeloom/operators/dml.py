@@ -74,7 +74,7 @@ def _assignments(sql: str, start: int, end: int, columns: list[str]) -> dict[str
         eq = _split(piece, 0, signs=("=",))
         if not eq:
             raise Refused(f"{piece.strip()!r} is not an assignment")
-        name = piece[: eq[0][1]].strip()
+        name = "".join(t for _, t, _ in lex(piece[: eq[0][1]]))
         if name.startswith("("):
             raise Refused("assigning to a list of columns is not served")
         if "." in re.sub(r"`[^`]*`", "", name):
@@ -124,7 +124,8 @@ def _rewrite(spark: SparkSession, r: Resolved, kind: str) -> tuple[int, DataFram
     view, sql = r.target.view, r.sql
     after = sql.find(view) + len(view)
     where = _split(sql, after, words=("where",))
-    predicate = f"coalesce(({sql[where[0][2] :].strip()}), false)" if where else "true"
+    # line breaks, since the text may end in a comment
+    predicate = f"coalesce((\n{sql[where[0][2] :].strip()}\n), false)" if where else "true"
     n = spark.sql(f"SELECT count(*) FROM {view} WHERE {predicate}").collect()[0][0]
     if kind == "delete":
         return n, spark.sql(f"SELECT * FROM {view} WHERE NOT {predicate}") if where else None
@@ -133,7 +134,7 @@ def _rewrite(spark: SparkSession, r: Resolved, kind: str) -> tuple[int, DataFram
     new = _assignments(sql, head[0][2], where[0][1] if where else len(sql), columns)
     quoted = {c: "`" + c.replace("`", "``") + "`" for c in columns}
     # one projection: every right-hand side reads the row as it was
-    items = [f"CASE WHEN {predicate} THEN ({new[c]}) ELSE {q} END AS {q}" if c in new else q for c, q in quoted.items()]
+    items = [f"CASE WHEN {predicate} THEN (\n{new[c]}\n) ELSE {q} END AS {q}" if c in new else q for c, q in quoted.items()]
     return n, spark.sql(f"SELECT {', '.join(items)} FROM {view}")
 
 

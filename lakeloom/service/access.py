@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from ..plans.resolve import Refused, Statement, object_name
+from .allowed import FUNCTIONS, NODES, UNRESOLVED
 
 PRIVILEGES = ("SELECT", "INSERT", "DELETE", "UPDATE", "USAGE", "CANCEL", "ALL")
 SEGMENTS = {"catalog": 1, "namespace": 2, "table": 3, "warehouse": None}
@@ -47,7 +48,8 @@ class Object:
         if self == other:
             return True
         inside = {"catalog": ("namespace", "table"), "namespace": ("table",)}.get(self.kind, ())
-        return other.kind in inside and other.name.startswith(self.name + ".")
+        mine, theirs = self.name.split("."), other.name.split(".")
+        return other.kind in inside and len(theirs) == SEGMENTS[other.kind] and theirs[: len(mine)] == mine
 
 
 @dataclass(frozen=True, order=True)
@@ -88,6 +90,9 @@ def required(st: Statement) -> list[Grant]:
     """The grants that a statement needs, those of its subqueries and common table expressions among them."""
     if st.kind in ("command", "merge"):
         raise Denied(f"this kind of statement is not served under access control: {st.sql[:60]!r}")
+    strange = sorted((st.nodes - NODES) | (st.unresolved - UNRESOLVED) | {f"{f}()" for f in st.functions - FUNCTIONS})
+    if strange:
+        raise Denied(f"not served under access control: {', '.join(strange)}")
     for r in st.refs:
         if len(r.parts) not in (1, 3):
             raise Refused(f"{'.'.join(r.parts)} is not the name of a table")

@@ -194,3 +194,56 @@ def test_result_cache(spark, shop):
     t = execute(spark, shop, "SELECT * FROM shop.sales.orders WHERE id < 0")
     assert decode(encode(t)).schema == t.schema
     assert normalized("SELECT  'A b' , X FROM T -- c\n") == "select 'A b' , x from t"
+
+
+def test_access_control_refuses_what_it_does_not_know(spark, shop):
+    nobody, reader = Authorization("nobody", ()), Authorization("reader", (Grant("ALL", Object("catalog", "shop")),))
+    for sql in (
+        "SELECT TRANSFORM(x) USING 'id -un' AS (y STRING) FROM VALUES (1) AS t(x)",
+        "SELECT reflect('java.lang.System', 'getProperty', 'java.version')",
+        "SELECT java_method('java.lang.System', 'getProperty', 'java.version')",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'java.version')",
+        "SELECT `reflect`('java.lang.System', 'getProperty', 'java.version')",
+        "SELECT system.builtin.reflect('java.lang.System', 'getProperty', 'java.version')",
+        "WITH c AS (SELECT reflect('a', 'b') AS x) SELECT * FROM c",
+        "SELECT 1 WHERE 'x' IN (SELECT reflect('a', 'b'))",
+        "SELECT filter(array(1), x -> reflect('a', 'b') = 'c')",
+        "SELECT IDENTIFIER('reflect')('a', 'b')",
+        "SELECT * FROM collations()",
+        "SELECT * FROM IDENTIFIER('shop.sales.orders')",
+        "SELECT some_udf(1)",
+        "SELECT input_file_name() FROM shop.sales.orders",
+        "DELETE FROM shop.sales.orders WHERE label = reflect('a', 'b')",
+        "INSERT INTO shop.sales.orders SELECT TRANSFORM(x) USING 'id' AS (a STRING, b STRING, c STRING) FROM VALUES (1) AS t(x)",
+    ):
+        for who in (nobody, reader):
+            with pytest.raises((Denied, Refused)):
+                execute(spark, shop, sql, who)
+    assert execute(spark, shop, "SELECT upper('a') AS a, count(*) FILTER (WHERE x > 1) AS n FROM VALUES (1), (2) AS t(x)", nobody).to_pylist() == [{"a": "A", "n": 1}]
+    got = execute(spark, shop, "SELECT o.id, e.i FROM shop.sales.orders o LATERAL VIEW explode(sequence(1, 2)) e AS i WHERE o.id = 1", reader)
+    assert got.num_rows == 2
+
+
+def test_names_with_dots_are_refused(spark, shop):
+    space = Authorization("ann", (Grant("SELECT", Object("namespace", "shop.sales")),))
+    for sql in ("SELECT * FROM shop.`sales.secret`.pay", "SELECT * FROM `shop.sales`.x.orders", "SELECT * FROM `a.b`", "DELETE FROM shop.`sales.secret`.pay"):
+        with pytest.raises((Denied, Refused)):
+            execute(spark, shop, sql, space)
+    with pytest.raises(ValueError):
+        shop.lakehouse("shop").ensure_namespace("sales.secret")
+    assert not Object("namespace", "shop.sales").covers(Object("table", "shop.sales.secret.pay"))
+    assert execute(spark, shop, "SELECT id FROM shop.sales.orders", space).num_rows == 5
+
+
+def test_every_catalogue_query_passes_the_allow_lists(spark):
+    from lakeloom.plans import catalogue
+
+    for sql in catalogue.SPARK.values():
+        required(parse(spark, sql))
+
+
+def test_comments_in_writes(spark, shop):
+    assert dml.execute(spark, shop, "DELETE FROM shop.sales.orders WHERE id = 2 -- just this one").rows_changed == 1
+    assert dml.execute(spark, shop, "UPDATE shop.sales.orders SET /* the */ label = 'x' -- why\n, qty = 1 -- and this").rows_changed == 4
+    assert dml.execute(spark, shop, "UPDATE shop.sales.orders SET label = 'y' -- why\n WHERE id = 1 /* one */").rows_changed == 1
+    assert rows(spark, shop, "SELECT * FROM shop.sales.orders WHERE id < 4") == [(1, "y", 1), (3, "x", 1)]
