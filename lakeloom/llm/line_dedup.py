@@ -1,242 +1,131 @@
 """Line dedup over content-defined chunks of lines.
 
-A rolling hash over the hashes of the last two lines ends a chunk wherever it is divisible by DIVISOR,
-so that inserted or lost lines move only the boundaries next to them. A chunk of two or more lines that
-occurs more than once in the corpus is kept where it first occurs, in order of (id, chunk), and removed
-elsewhere, once its bytes have been compared with the first occurrence's.
-
-Passes: (1) digests only, 16 bytes a chunk; (2) the bytes of the chunks whose digest repeats;
-(3) the documents, cut. Only pass 3 and the repeats of pass 2 move text.
-
-dedup_line_runs needs no chunks: every two adjacent lines are a window, and the lines of a window seen before go, which
-is each line of every repeated run of two or more lines. Passes: (1) 128-bit BLAKE2b digests of the windows; (2) the documents, cut.
+A rolling hash over the hashes of WINDOW adjacent lines is taken at every line. A chunk is a longest run of lines
+in which every window's hash occurs more than once in the corpus: a boundary lies where one occurs once. Both depend on the
+lines in the window only, so that inserted or lost lines move no boundary but those next to them. (Boundaries where the hash is
+divisible by a constant, the usual rule, cut repeated passages of 2 to 7 lines, which are the common ones, apart: README has figures.)
+Chunks have WINDOW lines at least. Their windows are removed where they repeat an earlier one byte for byte.
+
+Passes: (1) rolling hashes, counted; (2) the bytes of the windows that may repeat, by a bitmap of the first pass, compared by a join on the bytes; (3)
+the documents, cut. A window that occurs everywhere is one row of each task after partial aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from . import bytes_kernel as K
-from .scratch import Scratch
+from .frames import carry, ids_and_texts, kind
+from .repeats import maybe, repeated
 
-DIVISOR = 4
 WINDOW = 2
 
 
-def line_chunks(data: np.ndarray, offs: np.ndarray, hashes: bool = True) -> dict[str, np.ndarray]:
-    """Chunks of a block: doc, k (its place in the document), start, end, lines and two 64-bit hashes.
+def lines_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start, end and end without the newline of each line of a block.
 
     A line is what ends with a newline or with its document; its newline belongs to it.
     """
-    n = len(data)
-    first = K.PrefixHash(data, 0)
-    ends = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, offs[1:][offs[1:] > offs[:-1]]]))
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    # the newline doesn't count for a line's hash: a last line may lack it
-    bare = ends - (data[ends - 1] == 10) if len(ends) else ends
-    h = first.of(starts, bare)
-    doc = np.searchsorted(offs, starts, "right") - 1
-    last = np.zeros(len(ends), bool)
-    if len(ends):
-        last[np.append(np.flatnonzero(doc[1:] != doc[:-1]), len(ends) - 1)] = True
-    roll = h.copy()
-    for k in range(1, WINDOW):
-        roll[k:] += np.where(doc[k:] == doc[:-k], h[:-k] * K.U(0x9FB21C651E98DF25) ** K.U(k), K.U(0))
-    cut = np.flatnonzero((K.mix(roll) % K.U(DIVISOR) == 0) | last)
-    begin = np.append(0, cut[:-1] + 1) if len(cut) else cut
-    out = {"doc": doc[cut], "start": starts[begin] if len(cut) else cut, "end": bare[cut] if len(cut) else cut, "full": ends[cut] if len(cut) else cut, "lines": cut - begin + 1}
-    out["k"] = np.arange(len(cut)) - np.searchsorted(out["doc"], out["doc"])
-    if hashes:
-        second = K.PrefixHash(data, 1)
-        out |= {"a": first.of(out["start"], out["end"]).view(np.int64), "b": second.of(out["start"], out["end"]).view(np.int64)}
-    assert n == 0 or int(out["full"][-1]) == n
-    return out
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offs = K.flat(batch.column(1))
-        ids = batch.column(0)
-        for i, _, d, o in K.blocks(data, offs):
-            c = line_chunks(d, o)
-            keep = c["lines"] > 1
-            yield pa.RecordBatch.from_arrays([pa.array(c["a"][keep]), pa.array(c["b"][keep]), ids.take(pa.array(c["doc"][keep] + i)), pa.array(c["k"][keep].astype(np.int32))], ["a", "b", "id", "k"])
-
+    full = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, offs[1:][offs[1:] > offs[:-1]]])).astype(np.int64)
+    start = np.append(0, full[:-1]) if len(full) else full
+    doc = np.searchsorted(offs, start, "right") - 1
+    return doc, start, full, full - (data[full - 1] == 10) if len(full) else full
 
-def _repeated_bytes(id_at: int, text_at: int):
-    """For documents with ks, the chunks that may repeat: a, b, id, k, bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out = batch.column(id_at), ([], [], [], [], [])
-            data, offs = K.flat(batch.column(text_at))
-            for row, ks in enumerate(batch.column(text_at + 1).to_pylist()):
-                if not ks:
-                    continue
-                d = data[offs[row] : offs[row + 1]]
-                c = line_chunks(d, np.array([0, len(d)]))
-                for k in sorted(ks):
-                    if k < len(c["k"]):  # else the chunk is of another row of this id
-                        out[0].append(int(c["a"][k]))
-                        out[1].append(int(c["b"][k]))
-                        out[2].append(row)
-                        out[3].append(k)
-                        out[4].append(d[c["start"][k] : c["end"][k]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), ids.take(pa.array(out[2], pa.int64())), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["a", "b", "id", "k", "bytes"])
+def windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, line in it, start, end, rolling hash) of every window of WINDOW lines that isn't blank.
 
-    return run
+    The last newline doesn't count, since a document's last line may lack it.
+    """
+    doc, start, full, bare = lines_of(data, offs)
+    n = max(0, len(start) - WINDOW + 1)
+    h = K.PrefixHash(data).of(start, bare)
+    roll = np.zeros(n, K.U)
+    for k in range(WINDOW):
+        roll = roll * K.U(0x9FB21C651E98DF25) + h[k : n + k]
+    space = np.append(0, np.cumsum(~np.isin(data, (9, 10, 11, 12, 13, 32))))
+    ok = (doc[:n] == doc[WINDOW - 1 :]) & (space[bare[WINDOW - 1 :]] > space[start[:n]]) if n else np.zeros(0, bool)
+    at = np.flatnonzero(ok)
+    line = at - np.searchsorted(doc, doc[at])
+    return doc[at], line, start[at], bare[at + WINDOW - 1], K.mix(roll[at])
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offs = K.flat(batch.column(0))
+        for _, _, d, o in K.blocks(data, offs):
+            yield pa.RecordBatch.from_arrays([pa.array(windows(d, o)[4].view(np.int64))], ["h"])
 
 
-def _cut(text_at: int, ks_at: int):
+def _candidates(again: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed = [], []
-            data, offs = K.flat(batch.column(text_at))
-            for row, (ks, there) in enumerate(zip(batch.column(ks_at).to_pylist(), batch.column(text_at).is_valid().to_pylist(), strict=True)):
-                d = data[offs[row] : offs[row + 1]]
-                if not ks:
-                    texts.append(d.tobytes().decode() if there else None)
-                    removed.append(0)
-                    continue
-                c = line_chunks(d, np.array([0, len(d)]), False)
-                stay = ~np.isin(c["k"], ks)
-                texts.append(b"".join(d[s:e].tobytes() for s, e in zip(c["start"][stay], c["full"][stay], strict=True)).decode())
-                removed.append(int(c["lines"][~stay].sum()))
-            cols = [x for j, x in enumerate(batch.columns) if j not in (text_at, ks_at)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(removed, pa.int32())], [f"c{j}" for j in range(len(cols) + 2)])
+            ids = batch.column(0)
+            data, offs = K.flat(batch.column(1))
+            for i, _, d, o in K.blocks(data, offs):
+                doc, line, s, e, h = windows(d, o)
+                keep = maybe(again.value, h)
+                text = d.tobytes()
+                found = [text[a:b] for a, b in zip(s[keep].tolist(), e[keep].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), ids.take(pa.array(i + doc[keep])), pa.array(line[keep]), pa.array(found, pa.binary())], ["h", "id", "k", "bytes"])
 
     return run
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without repeated chunks of lines, and with removed_lines (int) as its last column.
-
-    A document that had text and has none left is dropped. Null and empty texts have no chunks and stay as they
-    are; rows with a null id stay untouched and are not counted. Ids should be unique: rows that share an id are
-    each cut by all that is removed under that id at the same chunk, so a row repeated under one id keeps its
-    first-occurring text in every copy. Other columns are carried; a column named removed_lines is replaced.
-    """
-    scratch = Scratch(df.sparkSession, "lines")
-    id_type = df.schema[id_col].dataType.simpleString()
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    chunks = src.mapInArrow(_digests, f"a bigint, b bigint, id {id_type}, k int")
-    digests = chunks.groupBy("a", "b").agg(F.collect_list(F.struct("id", "k")).alias("at")).filter("size(at) > 1")
-    at = scratch.keep(digests.select("a", "b", F.explode("at").alias("x")).select("a", "b", "x.id", "x.k"), "at")
-    rest = [c for c in df.columns if c not in (text_col, "removed_lines")]
-    n, id_at = len(rest), rest.index(id_col)
-    base = df.select(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(rest)], F.col(f"`{text_col}`").alias("_text"))
-    names_types = [f"c{j} {df.schema[c].dataType.simpleString()}" for j, c in enumerate(rest)]
-
-    def with_lists(lists: DataFrame) -> DataFrame:
-        # both times the same exchange of the documents by id, which Spark runs once
-        lists = lists.select(F.col("id").alias("_id"), F.col("ks").alias("_ks")).hint("merge")
-        return base.join(lists, F.col(f"c{id_at}") == F.col("_id"), "left").drop("_id")
-
-    members = with_lists(at.groupBy("id").agg(F.collect_set("k").alias("ks"))).mapInArrow(_repeated_bytes(id_at, n), f"a bigint, b bigint, id {id_type}, k int, bytes binary")
-    firsts = at.groupBy("a", "b").agg(F.min(F.struct("id", "k")).alias("x")).select("a", "b", F.col("x.id").alias("id0"), F.col("x.k").alias("k0")).hint("merge")
-    is_first = (F.col("id") == F.col("id0")) & (F.col("k") == F.col("k0"))
-    tagged = members.join(firsts, ["a", "b"]).withColumn("first", is_first)
-    kept = tagged.filter("first").groupBy("a", "b").agg(F.min("bytes").alias("bytes0")).hint("merge")
-    same = tagged.filter("not first").join(kept, ["a", "b"]).filter(F.col("bytes") == F.col("bytes0"))
-    gone = same.groupBy("id").agg(F.collect_set("k").alias("ks"))
-    schema = ", ".join([*names_types, f"c{n} string, c{n + 1} int"])
-    out = with_lists(gone).mapInArrow(_cut(n, n + 1), schema)
-    text, removed = F.col(f"c{n}"), F.col(f"c{n + 1}")
-    out = out.filter((removed == 0) | (F.length(F.trim(F.regexp_replace(text, "[\\n\\r\\t]", " "))) > 0))
-    names = {c: f"c{j}" for j, c in enumerate(rest)} | {text_col: f"c{len(rest)}"}
-    return out.select(*[F.col(names[c]).alias(c) for c in df.columns if c in names], removed.alias("removed_lines"))
-
-
-def line_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and end without the newline of each line of one text."""
-    full = np.flatnonzero(data == 10) + 1
-    if len(data) and (not len(full) or full[-1] < len(data)):
-        full = np.append(full, len(data))
-    start = np.append(0, full[:-1]) if len(full) else full
-    return start, full, full - (data[full - 1] == 10) if len(full) else full
-
-
-def _digest(text: bytes, start: int, end: int) -> bytes | None:
-    """Of the two lines there; None if both are blank."""
-    window = text[start:end]
-    return blake2b(window, digest_size=16).digest() if window.strip() else None
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offs = K.flat(batch.column(1))
-        ids = batch.column(0)
-        for i, j, d, o in K.blocks(data, offs):
-            digests, rows, ks = [], [], []
-            for row in range(j - i):
-                mine = d[o[row] : o[row + 1]]
-                text = mine.tobytes()
-                start, _, bare = line_bounds(mine)
-                for k, (s, e) in enumerate(zip(start[:-1].tolist(), bare[1:].tolist(), strict=True)):
-                    if (x := _digest(text, s, e)) is not None:
-                        digests.append(x)
-                        rows.append(i + row)
-                        ks.append(k)
-            ab = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), ids.take(pa.array(rows, pa.int64())), pa.array(ks, pa.int32())], ["a", "b", "id", "k"])
-
-
-def _cut_lines(text_at: int, gone_at: int):
+def _cut(text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
             data, offs = K.flat(batch.column(text_at))
-            for row, (gone, there) in enumerate(zip(batch.column(gone_at).to_pylist(), batch.column(text_at).is_valid().to_pylist(), strict=True)):
+            there = batch.column(text_at).is_valid().to_pylist()
+            for row, gone in enumerate(batch.column(text_at + 1).to_pylist()):
                 d = data[offs[row] : offs[row + 1]]
                 text = d.tobytes()
-                if not gone:
-                    texts.append(text if there else None)
+                if not gone or not there[row]:
+                    texts.append(text if there[row] else None)
                     removed.append(0)
                     continue
-                start, full, bare = line_bounds(d)
+                _, line, _, _, h = windows(d, np.array([0, len(d)]))
+                mine = dict(zip(line.tolist(), h.view(np.int64).tolist(), strict=True))
+                _, start, full, _ = lines_of(d, np.array([0, len(d)]))
                 stay = np.ones(len(start), bool)
                 for x in gone:
-                    k = x["k"]
-                    # else the window is of another row of this id
-                    if k + 1 < len(start) and (y := _digest(text, start[k], bare[k + 1])) is not None and tuple(np.frombuffer(y, np.int64).tolist()) == (x["a"], x["b"]):
-                        stay[k : k + 2] = False
+                    if mine.get(x["k"]) == x["h"]:  # else the window is of another row of this id
+                        stay[x["k"] : x["k"] + WINDOW] = False
                 texts.append(b"".join(text[s:e] for s, e in zip(start[stay].tolist(), full[stay].tolist(), strict=True)))
                 removed.append(int((~stay).sum()))
-            cols = [x for j, x in enumerate(batch.columns) if j not in (text_at, gone_at)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(removed, pa.int32())], [f"c{j}" for j in range(len(cols) + 2)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(removed, pa.int64())], [*batch.schema.names[:text_at], "_text", "_removed"])
 
     return run
 
 
 def dedup_line_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without repeated runs of two or more lines, and with removed_lines (int) as its last column.
+    """df without repeated runs of WINDOW or more lines, and with removed_lines (bigint) as its last column.
 
-    A window of two adjacent lines stays where it first occurs, in order of (id, line); the lines of its other occurrences go,
+    A window stays where it first occurs, in order of (id, line); the lines of its other occurrences go,
     but for those that overlap the first in its own document. So every line's text stays where it first occurs, though
     the lines of one run may stay in several documents. Windows of blank lines only don't count.
-    Null and empty texts stay; a document that had text and has none left is dropped. Rows with a null id stay untouched
-    and are not counted. Rows that share an id are each cut where they hold what is removed under that id at the same line.
-    Other columns are carried; a column named removed_lines is replaced.
+    Null and empty texts stay; a document that had text and has none left is dropped. Texts and lines of any length are read whole.
+    Rows with a null id stay untouched and are not counted. Rows that share an id are each cut where they hold what is removed under that id
+    at the same line. An empty table gives an empty result. Other columns are carried, whatever their names and types; a column
+    named removed_lines, in any case, is replaced.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    same = Window.partitionBy("a", "b")
-    marked = src.mapInArrow(_windows, f"a bigint, b bigint, id {id_type}, k int").withColumn("first", F.min(F.struct("id", "k")).over(same))
-    again = marked.filter("id <> first.id or k >= first.k + 2")
-    gone = again.groupBy("id").agg(F.collect_list(F.struct("k", "a", "b")).alias("_gone")).withColumnRenamed("id", "_id")
-    rest = [c for c in df.columns if c not in (text_col, "removed_lines")]
-    n = len(rest)
-    base = df.select(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(rest)], F.col(f"`{text_col}`").alias("_text"))
-    joined = base.join(gone, F.col(f"c{rest.index(id_col)}") == F.col("_id"), "left").drop("_id")
-    schema = ", ".join([*(f"c{j} {df.schema[c].dataType.simpleString()}" for j, c in enumerate(rest)), f"c{n} string, c{n + 1} int"])
-    out = joined.mapInArrow(_cut_lines(n, n + 1), schema)
-    text, removed = F.col(f"c{n}"), F.col(f"c{n + 1}")
-    out = out.filter((removed == 0) | (F.length(F.trim(F.regexp_replace(text, "[\\n\\r\\t]", " "))) > 0))
-    names = {c: f"c{j}" for j, c in enumerate(rest)} | {text_col: f"c{n}"}
-    return out.select(*[F.col(names[c]).alias(c) for c in df.columns if c in names], removed.alias("removed_lines"))
+    table = carry(df, id_col, text_col, "removed_lines")
+    src = ids_and_texts(df, id_col, text_col)
+    again = df.sparkSession.sparkContext.broadcast(repeated(src.select("text").mapInArrow(_hashes, "h bigint")))
+    found = src.mapInArrow(_candidates(again), StructType([StructField("h", LongType()), StructField("id", kind(df, id_col)), StructField("k", LongType()), StructField("bytes", BinaryType())]))
+    first = found.groupBy("h", "bytes").agg(F.min(F.struct("id", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # the join on the bytes is the comparison
+    later = found.join(first.select("h", "bytes", "first"), ["h", "bytes"]).filter(f"id <> first.id or k >= first.k + {WINDOW}")
+    gone = later.groupBy("id").agg(F.collect_list(F.struct("k", "h")).alias("_gone")).withColumnRenamed("id", "_id")
+    joined = table.base.join(gone, F.col(table.id) == F.col("_id"), "left").drop("_id")
+    out = joined.mapInArrow(_cut(table.n), table.schema(("_text", StringType()), ("_removed", LongType())))
+    out = out.filter((F.col("_removed") == 0) | (F.length(F.trim(F.translate("_text", "\n\r\t", "   "))) > 0))
+    return table.result(out, "_text", ("_removed", "removed_lines"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.llm import bytes_kernel as K
-from lakeloom.llm import line_dedup, near_dedup, quality_cnn, spotsigs, substring_dedup
+from lakeloom.llm import line_dedup, near_dedup, quality_cnn, repeats, spotsigs, substring_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, id string, a int, c0 string, n bigint, _text string"
 
@@ -98,68 +98,6 @@ def _per_doc(d, o):
 # --- line dedup
 
 
-def chunks_of(text):
-    """Lines and chunks of one text, in plain Python."""
-    if not text:
-        return []
-    lines = text.encode().splitlines(keepends=True) if "\r" not in text else None
-    lines = lines if lines is not None else [x + b"\n" for x in text.encode().split(b"\n")]
-    data = b"".join(lines)
-    arr = np.frombuffer(data, np.uint8)
-    hs, at = [], 0
-    p = K.PrefixHash(arr)
-    for x in lines:
-        hs.append(int(p.of(np.array([at]), np.array([at + len(x.rstrip(b"\n"))]))[0]))
-        at += len(x)
-    out, run = [], []
-    for i, x in enumerate(lines):
-        run.append(x)
-        roll = hs[i] + (hs[i - 1] * pow(0x9FB21C651E98DF25, 1, 2**64) if i else 0)
-        if int(K.mix(np.array([roll % 2**64], np.uint64))[0]) % line_dedup.DIVISOR == 0 or i == len(lines) - 1:
-            out.append(run)
-            run = []
-    return out
-
-
-def test_line_dedup_equals_brute_force(spark):
-    r = random.Random(9)
-    pool = [prose(r, 8) for _ in range(400)]
-    block = pool[:30]
-    rows = []
-    for i in range(60):
-        lines = [r.choice(pool) for _ in range(r.randint(0, 6))]
-        if i % 3 == 0:
-            k = r.randint(0, 8)
-            lines += block[k:] + [prose(r, 5)]
-        rows.append((i, "\n".join(lines)))
-    rows += [(100, rows[0][1]), (101, rows[0][1]), (102, None), (103, ""), (104, "\n\n"), (None, rows[0][1]), (105, "solo\n"), (106, "\n".join(block * 300))]
-    r.shuffle(rows)
-    first = {}
-    for i, t in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
-        for k, c in enumerate(chunks_of(t)):
-            if len(c) > 1:
-                first.setdefault(b"".join(c).removesuffix(b"\n"), (i, k))
-    want = {}
-    for i, t in rows:
-        cs = chunks_of(t) if i is not None else []
-        stay = [c for k, c in enumerate(cs) if len(c) == 1 or first[b"".join(c).removesuffix(b"\n")] == (i, k)]
-        text = b"".join(b"".join(c) for c in stay).decode() if cs else t
-        if len(stay) == len(cs) or text.strip():
-            want[i] = (text, sum(map(len, cs)) - sum(map(len, stay)))
-    df = line_dedup.dedup_lines(frame(spark, rows))
-    assert df.columns == [*frame(spark, rows[:1]).columns, "removed_lines"]
-    got = {x.doc_id: (x.text, x.removed_lines) for x in df.collect()}
-    assert got == want
-    assert 106 in got and got[106][1] > 1000
-    assert any(n for _, n in got.values())
-    assert line_dedup.dedup_lines(frame(spark, [])).collect() == []
-
-
-def test_line_dedup_repeated_rows(spark):
-    rows = [(1, "a b\nc d\ne f"), (1, "a b\nc d\ne f")]
-    assert [x.removed_lines for x in line_dedup.dedup_lines(frame(spark, rows)).collect()] in ([0, 0],)
-
-
 def test_line_runs_equal_brute_force(spark):
     r = random.Random(9)
     pool = [prose(r, 8) for _ in range(400)] + ["", " "]
@@ -230,7 +168,7 @@ def test_substring_dedup_equals_brute_force(spark, corpus):
         d = np.frombuffer(ids[i], np.uint8)
         s, e = substring_dedup.chunk_bounds(d, np.array([0, len(d)]))
         assert b"".join(ids[i][a:b] for a, b in zip(s, e, strict=True)) == ids[i]
-        spans[i] = [(int(a), int(b)) for a, b in zip(s, e, strict=True) if b - a >= substring_dedup.MIN_CHUNK]
+        spans[i] = [(int(a), int(b)) for a, b in zip(s, e, strict=True)]
         for a, b in spans[i]:
             first.setdefault(ids[i][a:b], (i, a))
     got = {x.doc_id: x for x in substring_dedup.dedup_substrings(frame(spark, corpus)).collect()}
@@ -240,7 +178,7 @@ def test_substring_dedup_equals_brute_force(spark, corpus):
             assert got[i].text == t and got[i].removed_bytes == 0
             continue
         again = [(a, b - a) for a, b in spans[i] if first[ids[i][a:b]] != (i, a)]
-        gone = substring_dedup.runs(again)
+        gone = substring_dedup.runs(again, len(ids[i]))
         keep, at = b"", 0
         for a, b in gone:
             keep, at = keep + ids[i][at:a], b
@@ -253,6 +191,49 @@ def test_substring_dedup_equals_brute_force(spark, corpus):
     assert substring_dedup.dedup_substrings(frame(spark, [])).collect() == []
 
 
+def test_unequal_texts_are_kept_whatever_their_polynomial_hashes(spark):
+    """A Thue-Morse word and its complement collide in polynomial hashes modulo 2**64."""
+    for x, y in ("az", "bq", "ce"):
+        word = "".join(x if bin(i).count("1") % 2 == 0 else y for i in range(1024))
+        other = word.translate(str.maketrans(x + y, y + x))
+        if x == "a":  # others have repeated substrings
+            rows = [(1, word), (2, other), (3, word)]
+            assert {r.doc_id: r.text for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()} == {1: word, 2: other, 3: ""}
+        lines = [(1, f"{word}\nx"), (2, f"{other}\nx"), (3, f"{word}\nx\ny")]
+        assert {r.doc_id: r.text for r in line_dedup.dedup_line_runs(frame(spark, lines)).collect()} == {1: f"{word}\nx", 2: f"{other}\nx", 3: "y"}
+
+
+@pytest.mark.parametrize("op", ["lines", "substrings"])
+def test_odd_columns_ids_and_hot_texts(spark, op):
+    hot = "the same long line of text, one\nthe same long line of text, two\n" * 3
+    rows = [(f"d{i:04}", hot + f"own {i}", ("x", [1])) for i in range(300)] + [("short", "tiny", None), ("short2", "tiny", None)]
+    df = spark.createDataFrame(rows, "`my.id` string, Text string, `a b` struct<`c d`: string, e: array<int>>")
+    df = df.withColumn("Removed_Lines", F.lit(7)).withColumn("REMOVED_BYTES", F.lit("x")).withColumn("c0", F.lit(1)).withColumn("_text", F.lit(2))
+    f = {"lines": line_dedup.dedup_line_runs, "substrings": substring_dedup.dedup_substrings}[op]
+    out = f(df, "my.id", "text")
+    got = {r[0]: r for r in out.collect()}
+    if op == "lines":
+        assert out.columns == ["my.id", "Text", "a b", "REMOVED_BYTES", "c0", "_text", "removed_lines"]
+        assert got["d0000"][1] == hot[: len(hot) // 3] + "own 0" and all(got[f"d{i:04}"][1] == f"own {i}" for i in range(1, 300))
+        assert got["short2"][1] == "tiny"
+    else:
+        assert out.columns == ["my.id", "Text", "a b", "Removed_Lines", "c0", "_text", "removed_bytes", "repeated_from"]
+        assert all(len(got[f"d{i:04}"][1]) < 100 for i in range(1, 300))
+        assert (got["short"][1], got["short2"][1], got["short2"].removed_bytes, got["short2"].repeated_from) == ("tiny", "", 4, ["short"])
+    assert got["d0007"][2] == ("x", [1]) and got["d0007"]["c0"] == 1 and got["d0007"]["_text"] == 2
+    f(df, "my.id", "text").limit(0).write.format("noop").mode("overwrite").save()
+
+
+def test_bitmap_of_repeats(spark):
+    r = np.random.default_rng(5)
+    h = r.integers(-(2**63), 2**63 - 1, 3000)
+    df = spark.createDataFrame(pa.table({"h": np.concatenate([h, h[:500], h[:10]])}))
+    bits = repeats.repeated(df, bits=18)
+    assert repeats.maybe(bits, h[:500]).all() and repeats.maybe(bits, h[500:]).mean() < 0.01
+    assert np.unpackbits(bits).sum() <= 500
+    assert not repeats.repeated(df.limit(0), bits=10).any()
+
+
 def test_chunks_resist_insertions():
     r = random.Random(4)
     text = prose(r, 2000).encode()
