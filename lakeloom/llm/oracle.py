@@ -24,8 +24,8 @@ r AS (
 SELECT doc_id, r.n AS group_size, CAST(r.pick - 1 AS INTEGER) AS shard FROM rows JOIN r ON rows.k = r.k"""
 
 
-def spot_pairs(threshold: float = 0.5, min_spots: int = 5) -> str:
-    """Spots by words, all pairs by a join on spots."""
+def _fingerprints() -> str:
+    """f: doc_id, n and the sorted spots of every document that has any. rep: the classes."""
     upper = "".join(map(chr, range(65, 91)))
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
@@ -34,15 +34,16 @@ m AS (SELECT *, word IN ({_list(ANCHORS)}) AS anchor, word NOT IN ({_list(ANCHOR
 c AS (SELECT doc_id, list(word ORDER BY pos) AS cs FROM m WHERE content GROUP BY doc_id),
 a AS (SELECT doc_id, word, anchor, CAST(sum(CAST(content AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS before FROM m),
 s AS (SELECT DISTINCT a.doc_id, a.word || ' ' || c.cs[a.before + 1] || ' ' || c.cs[a.before + 2] AS spot FROM a JOIN c ON a.doc_id = c.doc_id WHERE a.anchor AND a.before + 2 <= len(c.cs)),
-f AS (SELECT doc_id, count(*) AS n, list(spot ORDER BY spot) AS spots FROM s GROUP BY doc_id HAVING count(*) >= {min_spots}),
-rep AS (SELECT min(doc_id) AS id, any_value(n) AS n, spots, list(doc_id) AS ids FROM f GROUP BY spots),
-e AS (SELECT id, n, unnest(spots) AS spot FROM rep),
-j AS (SELECT x.id AS id_a, y.id AS id_b, CAST(count(*) AS DOUBLE) AS both_, any_value(x.n) + any_value(y.n) AS sizes FROM e x JOIN e y ON x.spot = y.spot AND x.id < y.id GROUP BY x.id, y.id)
-SELECT id_a, id_b, both_ / (sizes - both_) AS jaccard FROM j WHERE both_ / (sizes - both_) >= {threshold} - 1e-9
-UNION ALL SELECT id AS id_a, x AS id_b, CAST(1 AS DOUBLE) AS jaccard FROM (SELECT id, unnest(ids) AS x FROM rep) t WHERE x <> id"""
+f AS (SELECT doc_id, count(*) AS n, list(spot ORDER BY spot) AS spots FROM s GROUP BY doc_id),
+rep AS (SELECT min(doc_id) AS id, any_value(n) AS n, spots FROM f GROUP BY spots)"""
 
 
-def all_spot_pairs(threshold: float = 0.5) -> str:
-    """The same for every document with a spot, and equal texts for those without."""
-    return f"""{spot_pairs(threshold, 1)}
-UNION ALL SELECT id_a, doc_id AS id_b, CAST(1 AS DOUBLE) AS jaccard FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS id_a FROM documents WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM f WHERE doc_id IS NOT NULL)) t WHERE doc_id <> id_a"""
+def fingerprint_classes(threshold: float = 0.5) -> str:
+    """Spots by words, all pairs of classes by a join on spots; equal texts where there is no spot."""
+    return f"""{_fingerprints()},
+e AS (SELECT id, n, unnest(spots) AS spot FROM rep),
+j AS (SELECT x.id AS id_a, y.id AS id_b, CAST(count(*) AS DOUBLE) AS both_, any_value(x.n) + any_value(y.n) AS sizes FROM e x JOIN e y ON x.spot = y.spot AND x.id < y.id GROUP BY x.id, y.id),
+k AS (SELECT id_a, id_b FROM j WHERE both_ / (sizes - both_) >= {threshold} - 1e-9),
+l AS (SELECT id, count(*) AS links FROM (SELECT id_a AS id FROM k UNION ALL SELECT id_b AS id FROM k) t GROUP BY id)
+SELECT f.doc_id, rep.id AS class_id, CAST(coalesce(l.links, 0) AS BIGINT) AS links FROM f JOIN rep ON f.spots = rep.spots LEFT JOIN l ON l.id = rep.id
+UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, CAST(0 AS BIGINT) AS links FROM documents WHERE text <> '' AND doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM f WHERE doc_id IS NOT NULL)"""

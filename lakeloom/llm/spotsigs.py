@@ -5,19 +5,28 @@ is the set of its spots. Pairs whose sets have a Jaccard similarity of at least
 exactly: sets are partitioned by length so that partners lie in the same or the next partition, and only
 pairs that share one of their rarest spots, agree in length and can still reach the needed overlap are
 compared. Spots of a single document can't be shared: they count for lengths and the order but go no further.
+
+Passes: (1) spots, counted; (2) a 128-bit digest of each document's fingerprint, and those of its spots that may be shared, by a
+bitmap of the first pass. Documents of one fingerprint are a class, and only its least id is compared with others: however many copies
+there are, the result has a row for each document, and no group is gathered in one row.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from . import bytes_kernel as K
+from .frames import ids_and_texts, kind
+from .repeats import maybe, repeated
 from .scratch import Scratch
 
 CHAIN = 2
@@ -57,44 +66,56 @@ def spots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], d[new]
 
 
-def _spots(min_spots: int):
+def _spot_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offs = K.flat(batch.column(0))
+        for _, _, d, o in K.blocks(data, offs):
+            yield pa.RecordBatch.from_arrays([pa.array(spots(d, o)[0].view(np.int64))], ["h"])
+
+
+def _prints(again: Broadcast):
+    """For each document a row (id, spots, digest of the fingerprint), and one (id, spots, spot) for each spot that may be shared.
+
+    The digest of a document without spots is that of its text.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             data, offs = K.flat(batch.column(1))
             for i, j, d, o in K.blocks(data, offs):
                 s, doc = spots(d, o)
-                n = np.bincount(doc, minlength=j - i)
-                keep = n[doc] >= min_spots
+                n = np.bincount(doc, minlength=j - i).astype(np.int32)
+                first = np.searchsorted(doc, np.arange(j - i + 1))
+                whole = [s[first[k] : first[k + 1]] if n[k] else d[o[k] : o[k + 1]] for k in range(j - i)]
+                ab = np.frombuffer(b"".join(blake2b(x.tobytes(), digest_size=16).digest() for x in whole), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), pa.nulls(j - i, pa.int64())], NAMES)
+                keep = maybe(again.value, s)
                 s, doc = s[keep], doc[keep]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + doc)), pa.array(n[doc].astype(np.int32)), pa.array(s.view(np.int64))], ["id", "n", "spot"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + doc)), pa.array(n[doc]), pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.int64()), pa.array(s.view(np.int64))], NAMES)
 
     return run
 
 
-def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, min_spots: int = 5) -> DataFrame:
-    """(id_a, id_b, jaccard): id_a < id_b, every pair of fingerprints at or above the threshold, exactly.
+NAMES = ["id", "n", "a", "b", "spot"]
 
-    Documents with one and the same fingerprint are listed as pairs of the least id among them and each other one, with 1.0, and only
-    that least id stands for them in other pairs: the list says all without growing with the square of the copies.
-    Documents of fewer than min_spots spots, null and empty texts among them, and rows with a null id are in no pair. Rows that
-    share an id must be copies; they count as one. Other columns are not read.
-    """
+
+def _classes_and_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id) of every document, and (ia, ib, jaccard) of the classes at or above the threshold, in no order."""
     scratch = Scratch(df.sparkSession, "spots")
-    id_type = df.schema[id_col].dataType.simpleString()
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    rows = src.mapInArrow(_spots(min_spots), f"id {id_type}, n int, spot bigint")
-    shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("spot"))).filter("df > 1")
+    src = ids_and_texts(df, id_col, text_col).filter("text <> ''")
+    again = df.sparkSession.sparkContext.broadcast(repeated(src.select("text").mapInArrow(_spot_hashes, "h bigint")))
+    schema = StructType([StructField("id", kind(df, id_col)), StructField("n", IntegerType()), *(StructField(c, LongType()) for c in NAMES[2:])])
+    rows = scratch.keep(src.mapInArrow(_prints(again), schema), "rows")
+    docs = rows.filter("spot is null").groupBy("id").agg(F.min(F.struct("n", "a", "b")).alias("p")).select("id", "p.*")
+    heads = docs.groupBy("n", "a", "b").agg(F.min("id").alias("class_id"))
+    classes = scratch.keep(docs.join(heads, ["n", "a", "b"]).select("id", "class_id"), "classes")
+    some = rows.filter("spot is not null").select("id", "n", "spot")
+    df_of = some.groupBy("spot").agg(F.count("*").alias("df")).filter("df > 1")
     # rarest first, ties by value: one order for all documents
-    sets = shared.groupBy("id", "n").agg(F.array_sort(F.collect_set(F.struct("df", "spot"))).alias("s"))
+    sets = some.join(df_of, "spot").groupBy("id", "n").agg(F.array_sort(F.collect_set(F.struct("df", "spot"))).alias("s"))
     sets = sets.select("id", "n", F.col("s.spot").alias("s")).filter(F.size("s") >= F.ceil(F.col("n") * threshold - 1e-9))
-    sets = scratch.keep(sets, "sets")
-    same = scratch.keep(sets.groupBy("n", "s").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids")), "same")
-    copies = same.filter((F.size("ids") > 1) & (F.size("s") == F.col("n"))).select(F.col("id").alias("id_a"), F.explode("ids").alias("id_b")).filter("id_a <> id_b").withColumn("jaccard", F.lit(1.0))
-    # sets of one length that agree in their shared spots but have others of their own are not copies
-    whole = same.filter(F.size("s") == F.col("n")).select("id", "n", "s")
-    part = same.filter(F.size("s") < F.col("n")).select(F.explode("ids").alias("id"), "n", "s")
-    points = scratch.keep(whole.unionByName(part), "points")
+    points = scratch.keep(sets.join(classes.filter("id = class_id").select("id"), "id", "left_semi"), "points")
     own = F.col("n") - F.size("s")
     prefix = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - own).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
@@ -109,28 +130,24 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     b = points.select(F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("double")
     verified = candidates.join(a, "ia").join(b, "ib").select("ia", "ib", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9)
-    pairs = verified.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "jaccard")
-    return pairs.unionByName(copies)
+    return classes, verified
 
 
-def _bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose text has no spot."""
-    for batch in batches:
-        data, offs = K.flat(batch.column(1))
-        none = np.ones(batch.num_rows, bool)
-        for i, _, d, o in K.blocks(data, offs):
-            none[i + spots(d, o)[1]] = False
-        yield batch.filter(pa.array(none))
+def class_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """(id_a, id_b, jaccard): id_a < id_b, every pair of classes whose fingerprints reach the threshold, by their least ids, exactly."""
+    _, pairs = _classes_and_pairs(df, id_col, text_col, threshold)
+    return pairs.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "jaccard")
 
 
-def all_similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """similar_pairs of every document that has a spot, and of the others those of equal text.
+def fingerprint_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """(id_col, class_id, links) of every document that has an id and a text, each id once.
 
-    Documents without a spot have no fingerprint: those of one text are listed as pairs of their least id and each other one,
-    with 1.0. Only null and empty texts and rows with a null id are in no pair.
+    class_id: the least id among the documents of one fingerprint. links: how many other classes have a fingerprint whose Jaccard
+    similarity with this one is at least the threshold; every pair counts. Documents without a spot have no fingerprint: those of one text
+    are a class, and have no links. Null and empty texts and rows with a null id are not in the result. Texts of any length are read whole. Rows that
+    share an id must be copies; else the least fingerprint and all its spots stand for them. An empty table gives an empty result. Other columns are not read.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text <> ''")
-    bare = src.mapInArrow(_bare, f"id {id_type}, text string").select("id", F.sha2("text", 256).alias("h"))
-    equal = bare.withColumn("id_a", F.min("id").over(Window.partitionBy("h"))).filter("id <> id_a").select("id_a", F.col("id").alias("id_b")).distinct()
-    return similar_pairs(df, id_col, text_col, threshold, 1).unionByName(equal.withColumn("jaccard", F.lit(1.0)))
+    classes, pairs = _classes_and_pairs(df, id_col, text_col, threshold)
+    links = pairs.select(F.explode(F.array("ia", "ib")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    out = classes.join(links, "class_id", "left")
+    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

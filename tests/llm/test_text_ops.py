@@ -263,50 +263,55 @@ def jaccards(sets, least):
     return out
 
 
-def test_spotsigs_equal_brute_force(spark, corpus):
-    sets = {}
-    for i, t in corpus:
+def classes_of(rows):
+    """class of each id, and links of each class, by brute force."""
+    whole, sets = {}, {}
+    for i, t in rows:
         if i is not None and t:
             d = np.frombuffer(t.encode(), np.uint8)
-            s = set(spotsigs.spots(d, np.array([0, len(d)]))[0].tolist())
-            if len(s) >= 5:
-                sets[i] = s
-    true = jaccards(sets, 0.5)
-    got = {(x.id_a, x.id_b): x.jaccard for x in spotsigs.similar_pairs(frame(spark, corpus)).collect()}
+            s = frozenset(spotsigs.spots(d, np.array([0, len(d)]))[0].tolist())
+            whole[i] = s or t
     rep = {}
-    groups = defaultdict(list)
-    for i, s in sets.items():
-        groups[frozenset(s)].append(i)
-    for g in groups.values():
-        rep |= {i: min(g) for i in g}
-    want = {}
-    for (a, b), j in true.items():
-        x, y = sorted((rep[a], rep[b]))
-        want[(x, y) if x != y else (a, b) if min(a, b) == x else (x, max(a, b))] = j
-    want |= {(rep[i], i): 1.0 for i in sets if rep[i] != i}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
-    assert len(got) > 1000
-    assert spotsigs.similar_pairs(frame(spark, [])).collect() == []
+    for i in sorted(whole):
+        rep.setdefault(whole[i], i)
+    sets = {i: s for s, i in rep.items() if not isinstance(s, str)}
+    true = jaccards(sets, 0.5)
+    links = defaultdict(int)
+    for a, b in true:
+        links[a] += 1
+        links[b] += 1
+    return {i: (rep[s], links[rep[s]]) for i, s in whole.items()}, true
+
+
+def test_spotsigs_equal_brute_force(spark, corpus):
+    want, pairs = classes_of(corpus)
+    df = frame(spark, corpus)
+    got = [(x.doc_id, (x.class_id, x.links)) for x in spotsigs.fingerprint_classes(df).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert sum(n for _, n in want.values()) > 1000 and sum(i != c for i, (c, _) in want.items()) >= 30
+    got = {(x.id_a, x.id_b): x.jaccard for x in spotsigs.class_pairs(df).collect()}
+    assert got.keys() == pairs.keys() and all(abs(got[k] - pairs[k]) < 1e-12 for k in got)
+    assert spotsigs.fingerprint_classes(frame(spark, [])).collect() == []
 
 
-def test_all_spot_pairs_equal_sql(spark):
+def test_spotsigs_equal_sql_and_odd_rows(spark):
     import duckdb
 
     from lakeloom.llm import oracle
 
     few, none = "the red fox, a blue whale", "item 7; item 9"
-    docs = [(1, few), (2, few), (3, "the red fox"), (4, none), (5, none), (6, none.upper()), (7, None), (8, None), (9, ""), (10, ""), (11, "was here now"), (12, "is gone far"), (13, "the red fox")]
-    got = sorted((x.id_a, x.id_b, x.jaccard) for x in spotsigs.all_similar_pairs(frame(spark, [*docs, (None, none)])).collect())
-    assert got == [(1, 2, 1.0), (1, 3, 0.5), (3, 13, 1.0), (4, 5, 1.0)]
+    docs = [(1, few), (2, few), (3, "the red fox"), (4, none), (5, none), (6, none.upper()), (7, None), (8, None), (9, ""), (10, ""), (11, "was here now"), (12, "is gone far"), (13, "the red fox"), (13, "the red fox")]
+    got = sorted(map(tuple, spotsigs.fingerprint_classes(frame(spark, [*docs, (None, none)])).collect()))
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 4, 0), (5, 4, 0), (6, 6, 0), (11, 11, 0), (12, 12, 0), (13, 3, 1)]
+    docs = docs[:-1]
     r = random.Random(3)
     for i in range(200):
         t = " ".join(r.choice(["the", "is", "x", "y", "z", "w", "of"]) for _ in range(r.randint(1, 14)))
         docs += [(100 + 2 * i, t), (101 + 2 * i, t if i % 5 else t + " v")]
     db = duckdb.connect()
     db.register("documents", pa.table({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]}))
-    want = sorted(db.execute(oracle.all_spot_pairs()).fetchall())
-    got = sorted((x.id_a, x.id_b, x.jaccard) for x in spotsigs.all_similar_pairs(frame(spark, docs)).collect())
-    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(got, want, strict=True))
+    want = sorted(db.execute(oracle.fingerprint_classes()).fetchall())
+    assert sorted(map(tuple, spotsigs.fingerprint_classes(frame(spark, docs)).collect())) == want
 
 
 def test_near_groups_recall_and_precision(spark, corpus, monkeypatch):
