@@ -325,11 +325,15 @@ def test_near_groups_recall_and_precision(spark, corpus, monkeypatch):
                 sets[i] = s
     near, far = jaccards(sets, 0.65), jaccards(sets, 0.45)
     df = frame(spark, corpus)
-    for small in (128, 16):  # the smaller makes leaders, rims and several levels
+    for small, hot in ((128, 50000), (16, 50000), (16, 100)):  # the smaller makes leaders, rims and several levels, and splits nodes
         monkeypatch.setattr(near_dedup, "SMALL", small)
+        monkeypatch.setattr(near_dedup, "HOT", hot)
         rows = near_dedup.near_groups(df).collect()
-        group = {i: x.group_id for x in rows for i in x.ids}
-        assert all(x.n == len(x.ids) == len(set(x.ids)) and x.ids == sorted(x.ids) and x.ids[0] == x.group_id for x in rows)
+        group = {x.doc_id: x.group_id for x in rows}
+        sizes = defaultdict(list)
+        for i, g in group.items():
+            sizes[g].append(i)
+        assert len(group) == len(rows) and all(x.n == len(sizes[x.group_id]) > 1 and min(sizes[x.group_id]) == x.group_id for x in rows)
         hit = sum(group.get(a, -1) == group.get(b, -2) for a, b in near)
         assert hit / len(near) >= 0.98
         links = defaultdict(set)
@@ -341,10 +345,39 @@ def test_near_groups_recall_and_precision(spark, corpus, monkeypatch):
         assert group[5004] == group[5005] == 5004
     kept = near_dedup.drop_near_copies(df)
     assert kept.columns == df.columns
-    assert kept.count() == len(corpus) - sum(x.n - 1 for x in rows)
+    assert kept.count() == len(corpus) - len(rows) + len(sizes)
     assert near_dedup.near_groups(frame(spark, [])).collect() == []
 
 
+def test_paths_use_no_minhash_twice_and_end():
+    used, path, seen = 0, 77, []
+    while picks := near_dedup.chosen(path, 0.6, used):
+        assert len(picks) == len(set(picks)) and not any(used >> p & 1 for p in picks)
+        seen += picks
+        for p in picks:
+            used |= 1 << p
+        path = near_dedup._mix(path)
+    assert sorted(seen) == list(range(near_dedup.SKETCH))
+
+
+def test_trees_are_added_until_the_target(spark, corpus, monkeypatch):
+    df = frame(spark, corpus[:400])
+    asked = []
+    real = near_dedup.measured_recall
+    monkeypatch.setattr(near_dedup, "measured_recall", lambda *a, **k: (asked.append(real(*a, **k)), (len(asked) / 3, 5))[1])
+    near_dedup.near_groups(df, trees=1, target=0.9).collect()
+    assert len(asked) == 3 and asked[0][0] <= asked[2][0]
+    with pytest.warns(UserWarning, match="2 trees reach a recall"):
+        near_dedup.near_groups(df, trees=1, target=9, most_trees=2).collect()
+
+
+def test_a_large_node_of_one_sketch_ends(spark):
+    """Texts whose sketches agree in every byte can't be parted by branching."""
+    rows = [(i, "a b " * (2 + i)) for i in range(700)]
+    got = {x.doc_id: x.group_id for x in near_dedup.near_groups(frame(spark, rows)).collect()}
+    assert got == {i: 0 for i in range(700)}
+
+
 # --- classifier
 
 
