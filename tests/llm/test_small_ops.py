@@ -1,10 +1,14 @@
 """Sharding, mixing and packing against brute force, and the cases that each docstring defines."""
 
+import bisect
 import hashlib
 import heapq
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,37 +102,62 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, []), [F.col("lang")], F.lit(1), "doc_id").collect() == []
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 16), max_size=80))
-def test_schedule_is_bulk_synchronous_best_fit(sizes):
-    """Each round, replayed item by item: every gap in rising order takes the largest item left that fits."""
-    left, gaps = Counter(sizes), []
-    for opened, matches in packing.schedule(dict(Counter(sizes)), 16):
-        gaps = sorted(gaps + [16] * opened)
-        want: Counter = Counter()
-        pool, after = Counter(left), []
-        for g in gaps:
-            fit = max((s for s, n in pool.items() if n and s <= g), default=None)
-            if fit is None:
-                after.append(g)
+def best_fit(items, capacity, slack=0.005, turns=8):
+    """The rounds one by one. items: (size, *order) -> {item: (sequence, offset)}. Every gap in rising order takes the largest item left that fits."""
+    left, gaps, placed, opened, r = sorted(items), [], {}, 0, 0
+    while left:
+        top = max((g for g, _ in gaps), default=0)
+        large = [x[0] for x in left if x[0] > top]
+        new = math.ceil(sum(large) * (1 + slack) / capacity)
+        new = min(len(large), new if r == 0 else max(new, -(-len(large) // turns)))
+        gaps = sorted(gaps + [(capacity, opened + k) for k in range(new)])
+        opened, r, after = opened + new, r + 1, []
+        for g, seq in gaps:
+            k = bisect.bisect_right(left, (g, math.inf)) - 1
+            if k < 0:
+                after.append((g, seq))
                 continue
-            pool[fit] -= 1
-            want[g, fit] += 1
-            after.append(g - fit)
-        got: Counter = Counter()
-        for gap, _, n, size, _ in matches:
-            got[gap, size] += n
-        assert got == want and sum(got.values()) > 0
-        left, gaps = +pool, [g for g in after if g]
-        assert 16 not in gaps
-    assert not left
-
-
-def test_packing(spark):
+            x = left.pop(k)
+            placed[x] = (seq, capacity - g)
+            if g > x[0]:
+                after.append((g - x[0], seq))
+        assert new or len(after) < len(gaps) or len(placed)
+        gaps = after
+    return placed, opened
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.booleans()), max_size=60), st.integers(1, 6))
+def test_sweeps_over_ranges_are_one_sweep(rows, parts):
+    rows = sorted((s, int(g), k) for k, (s, g) in enumerate(rows))
+    want, stack = {}, []
+    for x in rows:
+        if x[1] == packing.ITEM:
+            stack.append(x)
+        elif stack:
+            want[x] = stack.pop()
+    step = -(-len(rows) // parts) or 1
+    got, left = {}, {}
+    for p in range(parts):
+        mine = rows[p * step : (p + 1) * step]
+        gaps, items, alone, rest = packing.match(np.array([x[1] for x in mine], np.int8))
+        got |= {mine[g]: mine[i] for g, i in zip(gaps, items, strict=True)}
+        left[p, packing.GAP_LEFT], left[p, packing.ITEM_LEFT] = [mine[i] for i in alone], [mine[i] for i in rest]
+    plan, matched, stay = packing.across({k: len(v) for k, v in left.items() if v})
+    for gp, first, many, ip, top in plan:
+        got |= {left[gp, packing.GAP_LEFT][first + k]: left[ip, packing.ITEM_LEFT][top - k] for k in range(many)}
+    assert got == want
+    assert sum(stay.values()) == len(stack) and sum(matched.values()) == sum(p[2] for p in plan)
+
+
+@pytest.mark.parametrize("task_rows", [40, 100_000])
+def test_packing(spark, task_rows):
     r = random.Random(3)
     rows = [(i, "x", "en", "s", r.choice([1, 5, 63, 64, 65, 200, r.randint(1, 300)])) for i in range(500)]
+    rows += [(1000 + i, "x", "en", "s", 17) for i in range(300)]  # a hot size
     rows += [(3, "x", "en", "s", 9), (3, "x", "en", "s", 9), (None, None, None, None, 10), (600, "x", "en", "s", None), (601, "x", "en", "s", 0), (602, "x", "en", "s", -4), (603, "x", "en", "s", 10000)]
-    got = packing.pack(docs(spark, rows), "doc_id", F.col("n"), 64, bucket_rows=50).collect()
+    df = docs(spark, rows)
+    got = packing.pack(df, "doc_id", F.col("n"), 64, task_rows=task_rows).collect()
     total = sum(x[4] for x in rows if x[4] and x[4] > 0)
     assert sum(g.length for g in got) == total
     seqs: dict = defaultdict(list)
@@ -148,6 +177,24 @@ def test_packing(spark):
     for i, _, _, _, n in rows:
         want.update((i, t) for t in range(n or 0))
     assert tokens == want
+    # the very sequences of the rounds done one by one
+    keys = {x[0]: x[1] for x in df.select("doc_id", F.xxhash64("doc_id")).collect()}
+    items = [(n % 64, keys[i], n, k) for k, (i, *_, n) in enumerate(rows) if n and n > 0 and n % 64]
+    placed, opened = best_fit(items, 64)
+    ids = {k: i for k, (i, *_) in enumerate(rows)}
+    assert Counter((g.doc_id, g.length, g.sequence, g.offset) for g in got if g.length < 64) == Counter((ids[x[3]], x[0], *at) for x, at in placed.items())
+    assert sorted(g.sequence for g in got if g.length == 64) == list(range(opened, opened + sum((x[4] or 0) // 64 for x in rows if (x[4] or 0) > 0)))
     assert packing.pack(docs(spark, []), "doc_id", F.col("n"), 64).collect() == []
     one = packing.pack(docs(spark, [(1, "x", "en", "s", 128)]), "doc_id", F.col("n"), 64).collect()
     assert sorted((g.piece, g.sequence) for g in one) == [(0, 0), (1, 1)]
+
+
+def test_op5_is_best_fit(spark):
+    from lakeloom.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.xxhash64("doc_id").alias("k")).collect()
+    items = [(n % 2048, x.k, n, x.doc_id) for x in table if (n := len([w for w in re.split("[ \t\n\r]+", x.text or "") if w])) % 2048]
+    placed, _ = best_fit(items, queries.SEQUENCE_TOKENS)
+    got = {(g.doc_id, g.length): (g.sequence, g.offset) for g in queries.op5_packing(spark, d).collect() if g.length < 2048}
+    assert got == {(x[3], x[0]): at for x, at in placed.items()}
