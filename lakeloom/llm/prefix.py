@@ -14,7 +14,7 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value
     """
     df = df.withColumn("_v", value.cast("bigint"))
     by = [*keys, bucket]
-    before = Window.partitionBy(*keys).orderBy(bucket) if keys else Window.partitionBy(F.lit(0)).orderBy(bucket)
+    before = Window.partitionBy(*keys or [F.lit(0)]).orderBy(bucket)
     totals = df.groupBy(*by).agg(F.sum("_v").alias("_t"))
     starts = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.coalesce(F.sum("_t").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     cond = None

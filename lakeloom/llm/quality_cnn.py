@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import bytes_kernel as K
+from .frames import numbered, position
 
 EMBED, FILTERS, WIDTH, STRIDE = 6, 16, 8, 2
 PAIRS = WIDTH // 2
@@ -60,11 +62,36 @@ class ByteCNN:
         top = np.maximum.reduceat(acc, cuts, axis=0)[::2]
         pos = None
         if where:
-            pos = np.stack([first[d] + acc[first[d] : first[d] + chunks[d]].argmax(0) for d in range(len(lens))]) * STRIDE
+            pos = self._places(acc, top, first, chunks) * STRIDE
         return top, pos, buf
 
+    @staticmethod
+    def _places(acc: np.ndarray, top: np.ndarray, first: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+        """The first chunk of each document that has its maximum, for each filter."""
+        doc = np.repeat(np.arange(len(chunks)), chunks)
+        out = np.zeros(top.shape, np.int64)
+        rows = np.concatenate([np.arange(f, f + c) for f, c in zip(first.tolist(), chunks.tolist(), strict=True)])
+        for k in range(top.shape[1]):
+            hit = np.flatnonzero(acc[rows, k] == top[doc, k])
+            _, one = np.unique(doc[hit], return_index=True)
+            out[:, k] = rows[hit[one]]
+        return out
+
+    def pool_long(self, data: np.ndarray, segment: int = BLOCK) -> np.ndarray:
+        """Max of each filter over one document, segment by segment: memory is that of a segment, whatever the document's length."""
+        top, at = np.full(FILTERS, -np.inf, np.float32), 0
+        while at + segment + WIDTH - STRIDE < len(data):
+            pairs = np.frombuffer(data[at : at + segment + WIDTH - STRIDE].tobytes(), "<u2")
+            n = len(pairs) - PAIRS + 1
+            acc = self.tables[0][pairs[:n]]
+            for k in range(1, PAIRS):
+                acc += self.tables[k][pairs[k : k + n]]
+            top, at = np.maximum(top, acc.max(0)), at + segment
+        return np.maximum(top, self.pool(data[at:], np.array([0, len(data) - at]))[0][0])
+
     def probability(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        hidden = np.maximum(self.pool(data, offs)[0] + self.bias, 0)
+        top = self.pool_long(data)[None] if len(offs) == 2 and len(data) > BLOCK else self.pool(data, offs)[0]
+        hidden = np.maximum(top + self.bias, 0)
         return 1 / (1 + np.exp(-np.clip(hidden @ self.w + self.b, -50, 50)))
 
     def dump(self) -> str:
@@ -115,11 +142,11 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 12, batch: int = 64, ra
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1200) -> ByteCNN | float:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1200, sample_bytes: int = 1 << 20) -> ByteCNN | float:
     """A network fitted on at most per_class labelled documents of each class, the first by md5 of the id.
 
-    per_class bounds the sample, and with it the broadcast of ids and what the driver holds. Rows with a null id or label, and
-    documents of null text, are not used. Without labels of both classes: the one class there is (1.0 without any).
+    per_class and sample_bytes, the longest document that the sample takes, bound what the driver holds, and per_class the broadcast of
+    ids. Rows with a null id or label, and documents of null text, are not used. Without labels of both classes: the one class there is (1.0 without any).
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
     picks = []
@@ -127,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         one = known.filter(F.col("_y") == y).withColumn("_h", F.md5(F.col("_id").cast("string"))).orderBy("_h", "_id").limit(per_class)
         picks += [(r[0], r[1]) for r in one.select("_id", "_y").collect()]
     sample = docs.sparkSession.createDataFrame(picks, f"_id {docs.schema[id_col].dataType.simpleString()}, _y int")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter("_t is not null").join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t")).select("_id", "_y", "_t").collect()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.octet_length("_t") <= sample_bytes).join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t")).select("_id", "_y", "_t").collect()
     rows.sort(key=lambda r: r[0])
     y = np.array([r[1] for r in rows])
     if len(set(y.tolist())) < 2:
@@ -155,12 +182,21 @@ def _scorer(model: str | float):
 def score(docs: DataFrame, model: ByteCNN | float, cols: list[str], text_col: str = "text", name: str = "quality") -> DataFrame:
     """cols of docs and name: the probability (double) that the document is good, from all its bytes.
 
-    Null text gives null and empty text 0; documents of any length are read whole. Rows that repeat get the same value.
-    An empty table gives an empty result. A column of cols named as the result is an error of the caller.
+    Null text gives null and empty text 0; documents of any length are read whole, by segments. Rows that repeat get the same value.
+    An empty table gives an empty result. A column of cols named as the result, in any case, is replaced.
     """
-    if name in cols:
-        raise ValueError(f"there is a column {name} already")
-    types = ", ".join([*(f"c{j} {docs.schema[c].dataType.simpleString()}" for j, c in enumerate(cols)), "p double"])
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(cols)], F.col(text_col).alias("t"))
-    out = plain.mapInArrow(_scorer(model.dump() if isinstance(model, ByteCNN) else float(model)), types)
-    return out.select(*[F.col(f"c{j}").alias(c) for j, c in enumerate(cols)], F.col("p").alias(name))
+    at = [position(docs, c) for c in cols if c.lower() != name.lower()]
+    plain = numbered(docs).select(*[f"c{i}" for i in at], F.col(f"c{position(docs, text_col)}").alias("_text"))
+    schema = StructType([*(StructField(f"c{i}", docs.schema.fields[i].dataType) for i in at), StructField("p", DoubleType())])
+    out = plain.mapInArrow(_scorer(model.dump() if isinstance(model, ByteCNN) else float(model)), schema)
+    return out.toDF(*[docs.columns[i] for i in at], name)
+
+
+def keep_good(docs: DataFrame, model: ByteCNN | float, least: float, text_col: str = "text") -> DataFrame:
+    """docs whose probability is at least least, with their columns as they are; null and empty texts go."""
+    n = len(docs.columns)
+    plain = numbered(docs)
+    schema = StructType([*(StructField(f.name, f.dataType) for f in plain.schema.fields), StructField("p", DoubleType())])
+    fed = plain.select("*", F.col(f"c{position(docs, text_col)}").alias("_text"))
+    out = fed.mapInArrow(_scorer(model.dump() if isinstance(model, ByteCNN) else float(model)), schema).filter(F.col("p") >= least)
+    return out.select(*[f"c{i}" for i in range(n)]).toDF(*docs.columns)

@@ -24,7 +24,7 @@ def docs(spark, rows):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 30), max_size=60), st.integers(1, 9))
+@given(st.lists(st.integers(0, 30), max_size=60), st.integers(1, 9))
 def test_lpt_segments_equal_a_heap(sizes, shards):
     heap = [(0, s) for s in range(shards)]
     want = []
@@ -41,6 +41,7 @@ def test_lpt_segments_equal_a_heap(sizes, shards):
 def test_sharding(spark):
     r = random.Random(1)
     rows = [(i, r.choice(["a", "b", "c"]) * r.randint(0, 40), "en", "s", 1) for i in range(300)]
+    rows += [(400 + i, f"same size {i:05}", "en", "s", 1) for i in range(300)]
     rows += [(None, None, None, None, None), (304, None, "x", None, 2), (301, "", "en", "s", 0), (302, "z" * 100000, "en", "s", 1), (302, "z" * 100000, "en", "s", 1)]
     got = sharding.lpt_shards(docs(spark, rows), [F.col("text")], F.octet_length("text"), "doc_id", 5).collect()
     assert Counter(g.doc_id for g in got) == Counter(x[0] for x in rows)
@@ -50,13 +51,16 @@ def test_sharding(spark):
         sizes[text] += len(text or "")
     key = lambda t: hashlib.md5(((t or "") + "\x01" + ("true" if t is None else "false")).encode()).digest()
     heap, want = [(0, s) for s in range(5)], {}
-    for text in sorted((t for t in sizes if sizes[t]), key=lambda t: (-sizes[t], key(t))):
+    for text in sorted(sizes, key=lambda t: (-sizes[t], key(t))):
         load, s = heapq.heappop(heap)
         want[text] = s
         heapq.heappush(heap, (load + sizes[text], s))
     for i, text, *_ in rows:
-        if text and i is not None:
+        if i is not None:
             assert (by_id[i].shard, by_id[i].group_size) == (want[text], sizes[text])
+    zero = [(1, "ab", "", "", 1), (2, "", "", "", 1), (3, None, "", "", 1)]
+    got = {x.doc_id: x.shard for x in sharding.lpt_shards(docs(spark, zero), [F.col("text")], F.octet_length("text"), "doc_id", 3).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}
     assert sharding.lpt_shards(docs(spark, []), [F.col("text")], F.lit(1), "doc_id", 5).collect() == []
     with pytest.raises(ValueError):
         sharding.lpt_shards(docs(spark, []), [F.col("text")], F.lit(1), "doc_id", 0)

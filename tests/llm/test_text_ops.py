@@ -420,5 +420,40 @@ def test_classifier_cases(spark):
     assert quality_cnn.train(df, labels.filter("quality = 0")) == 0.0
     assert {x.p for x in quality_cnn.score(df.filter("doc_id = 3"), 1.0, ["doc_id"], name="p").collect()} == {1.0}
     assert quality_cnn.score(df.limit(0), net, ["doc_id"]).collect() == []
-    with pytest.raises(ValueError):
-        quality_cnn.score(df.withColumn("quality", F.lit(1)), net, ["quality"])
+    clash = quality_cnn.score(df.withColumn("Quality", F.lit(1)), net, ["doc_id", "Quality", "c0"])
+    assert clash.columns == ["doc_id", "c0", "quality"] and {x.doc_id: x.quality for x in clash.collect()} == p
+    assert {x.doc_id for x in quality_cnn.keep_good(df, net, 0.0).collect()} == {2, 3, 4} and quality_cnn.keep_good(df, net, 0.0).columns == df.columns
+
+
+def naive_probability(net, text):
+    """Every filter at every second byte of the padded text, one by one."""
+    if not text:
+        return 0.0
+    n = max(1, -(-len(text) // quality_cnn.STRIDE))
+    data = np.frombuffer(text + b"\0" * quality_cnn.WIDTH, np.uint8)
+    windows = np.stack([data[2 * k : 2 * k + quality_cnn.WIDTH] for k in range(n)])
+    top = np.tensordot(net.emb[windows], net.filt, ([1, 2], [0, 1])).max(0)
+    return 1 / (1 + np.exp(-(np.maximum(top + net.bias, 0) @ net.w + net.b)))
+
+
+def test_long_texts_are_pooled_by_segments():
+    net = quality_cnn.ByteCNN.fresh(4)
+    r = np.random.default_rng(1)
+    for n in (1000, 1001, 1006, 1007, 4096, 4097):
+        text = r.integers(1, 256, n, np.uint8)
+        whole = net.pool(text, np.array([0, n]))[0][0]
+        assert np.allclose(net.pool_long(text, segment=500), whole, atol=1e-5)
+
+
+def test_op8_equals_brute_force(spark):
+    from lakeloom.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    net = quality_cnn.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    got = {x.doc_id: (x.quality, x.keep) for x in queries.op8_quality(spark, d).collect()}
+    texts = {x.doc_id: x.text.encode() for x in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        p = naive_probability(net, t)
+        assert abs(got[i][0] - p) < 1e-4 and (got[i][1] == (p >= 0.5) or abs(p - 0.5) < 1e-4)
