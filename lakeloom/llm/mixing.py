@@ -70,22 +70,25 @@ def leaf_budgets(leaves: dict[tuple, int], budget: int, weights: dict[tuple, flo
     return out
 
 
-def mix(df: DataFrame, levels: list[Column], n_tokens: Column, id_col: str, *, fraction: float = 0.5, budget: int | None = None, weights: dict[tuple, float] | None = None, max_epochs: int = 2, seed: int = 17, buckets: int = 256) -> DataFrame:
+def mix(df: DataFrame, levels: list[Column], n_tokens: Column, id_col: str, *, fraction: float = 0.5, budget: int | None = None, weights: dict[tuple, float] | None = None, max_epochs: int = 2, seed: int = 17, buckets: int | None = None) -> DataFrame:
     """(id_col, leaf, epoch, n_tokens, take_tokens): each taken document once per epoch that takes it.
 
     budget: tokens in all; else fraction of what the table has. take_tokens is less than n_tokens only for the
     document that the budget cuts. A null level is a node of its own. Documents without tokens (null or empty text)
     are never taken. Rows that repeat an id are ordered by their tokens and each counted. An empty table or a budget
-    of 0 gives an empty result. Other columns are not read.
+    of 0 gives an empty result. Texts of any length count whole. Ties in the hash go by id, then tokens. Other columns are not read. The tree's nodes,
+    with one sum each, are brought to the driver.
 
     Order within an epoch needs no single task per leaf: hashes fall in equal buckets, whose totals give each
-    bucket's start, and only rows of one bucket are sorted together.
+    bucket's start, and only rows of one bucket are sorted together. buckets: by default one for every 100,000 rows, 256 at least.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "mix")
     names = [f"_l{i}" for i in range(len(levels))]
-    flat = scratch.keep(df.select(F.col(id_col).alias("_id"), *[c.cast("string").alias(n) for c, n in zip(levels, names, strict=True)], n_tokens.cast("bigint").alias("_n")).filter("_n > 0"), "tokens")
-    leaves = {tuple(r[:-1]): r[-1] for r in flat.groupBy(*names).agg(F.sum("_n")).collect()}
+    flat = scratch.keep(df.select(F.col(f"`{id_col}`").alias("_id"), *[c.cast("string").alias(n) for c, n in zip(levels, names, strict=True)], n_tokens.cast("bigint").alias("_n")).filter("_n > 0"), "tokens")
+    rows = flat.groupBy(*names).agg(F.sum("_n"), F.count("*")).collect()
+    leaves = {tuple(r[:-2]): r[-2] for r in rows}
+    buckets = buckets or max(256, 1 << (max([1, *(r[-1] for r in rows)]) // 100_000).bit_length())
     total = sum(leaves.values())
     shares = leaf_budgets(leaves, int(Fraction(fraction).limit_denominator(10**6) * total) if budget is None else budget, weights or {}, max_epochs)
     plan = [(*p, b // leaves[p], b % leaves[p]) for p, b in shares.items() if b > 0]

@@ -80,4 +80,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_mixing, op4_html_text, op5_packing, op6_spotsigs, op7_vector_graph, op8_quality, op9_substring_dedup, op10_near_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": oracle.sharding(N_SHARDS), "op6_spotsigs": oracle.fingerprint_classes()}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": oracle.sharding(N_SHARDS), "op3_mixing": oracle.mixing(WEIGHTS), "op6_spotsigs": oracle.fingerprint_classes(), "op7_vector_graph": oracle.similar_vectors()}
