@@ -132,7 +132,7 @@ def pack(df: DataFrame, id_col: str, length: Column, capacity: int = 2048, task_
     spark = df.sparkSession
     scratch = Scratch(spark, "pack")
     id_type = kind(df, id_col)
-    plain = df.withColumn("_len", length.cast("bigint"))
+    plain = df.select("*", length.cast("bigint"))
     at = position(df, id_col)
     plain = plain.toDF(*[f"c{i}" for i in range(len(plain.columns))]).select(F.col(f"c{at}").alias("id"), F.col(f"c{len(df.columns)}").alias("n")).filter("n > 0")
     docs = scratch.keep(plain.withColumn("u", F.monotonically_increasing_id()), "docs").withColumn("key", F.xxhash64("id"))

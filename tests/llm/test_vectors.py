@@ -132,37 +132,3 @@ def test_components(spark):
     got = {x.v: x.root for x in components.components(spark.createDataFrame(edges, "u bigint, v bigint"), Scratch(spark, "t")).collect()}
     assert got == {v: root(v) for v in parent if root(v) != v}
     assert components.components(spark.createDataFrame([], "u bigint, v bigint"), Scratch(spark, "t")).collect() == []
-
-
-def test_pipeline_stages_against_their_own_rules(spark, tmp_path):
-    import corpus_pipeline as P
-    from lakeloom.llm import line_dedup, mixing, near_dedup
-
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    columns, before = docs.columns, docs
-    kept = {}
-    for k, (name, f) in enumerate(P.STAGES):
-        out = f(spark, before, d)
-        if k < len(P.STAGES) - 1:
-            assert out.columns == columns
-        out.write.parquet(f"{tmp_path}/{name}")
-        kept[name] = spark.read.parquet(f"{tmp_path}/{name}")
-        before = kept[name]
-    ids = lambda n: {x.doc_id for x in kept[n].select("doc_id").collect()}
-    labels = {x.doc_id: x.quality for x in spark.read.parquet(f"{d}/labels.parquet").collect()}
-    good = {i for i, q in labels.items() if q == 1 and q is not None} & {x.doc_id for x in docs.collect()}
-    assert len(good & ids("quality")) / len(good) > 0.95
-    want = line_dedup.dedup_lines(kept["quality"])
-    assert {(x.doc_id, x.text) for x in want.collect()} == {(x.doc_id, x.text) for x in kept["line_dedup"].collect()}
-    assert all(x.n_chars == len(x.text) for x in kept["line_dedup"].collect())
-    groups = near_dedup.near_groups(kept["line_dedup"]).collect()
-    assert ids("near_dedup") == ids("line_dedup") - {i for g in groups for i in g.ids[1:]}
-    n = {x.doc_id: x.n for x in kept["near_dedup"].select("doc_id", mixing.tokens(kept["near_dedup"].text).alias("n")).collect()}
-    taken = sum(n[i] for i in ids("mixing"))
-    assert ids("mixing") <= n.keys() and taken >= P.MIX_FRACTION * sum(n.values()) * 0.999 - 200
-    packed = kept["packing"].collect()
-    assert {x.doc_id for x in packed} == ids("mixing")
-    assert sum(x.length for x in packed) == taken
-    again = {tuple(x) for x in P.run(spark, d).collect()}
-    assert {x[:4] for x in again} == {tuple(x)[:4] for x in packed}
