@@ -6,8 +6,8 @@ exactly: sets are partitioned by length so that partners lie in the same or the
 pairs that share one of their rarest spots, agree in length and can still reach the needed overlap are
 compared. Spots of a single document can't be shared: they count for lengths and the order but go no further.
 
-Passes: (1) spots, counted; (2) a 128-bit digest of each document's fingerprint, and those of its spots that may be shared, by a
-bitmap of the first pass. Documents of one fingerprint are a class, and only its least id is compared with others: however many copies
+Passes: (1) spots, counted; (2) a 128-bit digest of each document's fingerprint, and those of its spots that may be shared, the rarest first, by
+bitmaps of the first pass. Documents of one fingerprint are a class, and only its least id is compared with others: however many copies
 there are, the result has a row for each document, and no group is gathered in one row.
 """
 
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from . import bytes_kernel as K
 from .frames import ids_and_texts, kind
-from .repeats import maybe, repeated
+from .repeats import frequencies, levels
 from .scratch import Scratch
 
 CHAIN = 2
@@ -73,10 +73,10 @@ def _spot_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(spots(d, o)[0].view(np.int64))], ["h"])
 
 
-def _prints(again: Broadcast):
-    """For each document a row (id, spots, digest of the fingerprint), and one (id, spots, spot) for each spot that may be shared.
+def _prints(seen: Broadcast):
+    """For each document (id, spots, digest of the fingerprint, its spots that may be shared, the rarest first).
 
-    The digest of a document without spots is that of its text.
+    The digest of a document without spots is that of its text. Rarity is by level, ties by value: one order for all documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,33 +89,26 @@ def _prints(again: Broadcast):
                 first = np.searchsorted(doc, np.arange(j - i + 1))
                 whole = [s[first[k] : first[k + 1]] if n[k] else d[o[k] : o[k + 1]] for k in range(j - i)]
                 ab = np.frombuffer(b"".join(blake2b(x.tobytes(), digest_size=16).digest() for x in whole), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), pa.nulls(j - i, pa.int64())], NAMES)
-                keep = maybe(again.value, s)
-                s, doc = s[keep], doc[keep]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + doc)), pa.array(n[doc]), pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.int64()), pa.array(s.view(np.int64))], NAMES)
+                level = levels(seen.value, s)
+                s, doc, level = s[level >= 0], doc[level >= 0], level[level >= 0]
+                order = np.lexsort((s, level, doc))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)), pa.array(s[order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), lists], ["id", "n", "a", "b", "s"])
 
     return run
 
 
-NAMES = ["id", "n", "a", "b", "spot"]
-
-
 def _classes_and_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id, class_id) of every document, and (ia, ib, jaccard) of the classes at or above the threshold, in no order."""
     scratch = Scratch(df.sparkSession, "spots")
     src = ids_and_texts(df, id_col, text_col).filter("text <> ''")
-    again = df.sparkSession.sparkContext.broadcast(repeated(src.select("text").mapInArrow(_spot_hashes, "h bigint")))
-    schema = StructType([StructField("id", kind(df, id_col)), StructField("n", IntegerType()), *(StructField(c, LongType()) for c in NAMES[2:])])
-    rows = scratch.keep(src.mapInArrow(_prints(again), schema), "rows")
-    docs = rows.filter("spot is null").groupBy("id").agg(F.min(F.struct("n", "a", "b")).alias("p")).select("id", "p.*")
-    heads = docs.groupBy("n", "a", "b").agg(F.min("id").alias("class_id"))
-    classes = scratch.keep(docs.join(heads, ["n", "a", "b"]).select("id", "class_id"), "classes")
-    some = rows.filter("spot is not null").select("id", "n", "spot")
-    df_of = some.groupBy("spot").agg(F.count("*").alias("df")).filter("df > 1")
-    # rarest first, ties by value: one order for all documents
-    sets = some.join(df_of, "spot").groupBy("id", "n").agg(F.array_sort(F.collect_set(F.struct("df", "spot"))).alias("s"))
-    sets = sets.select("id", "n", F.col("s.spot").alias("s")).filter(F.size("s") >= F.ceil(F.col("n") * threshold - 1e-9))
-    points = scratch.keep(sets.join(classes.filter("id = class_id").select("id"), "id", "left_semi"), "points")
+    seen = df.sparkSession.sparkContext.broadcast(frequencies(src.select("text").mapInArrow(_spot_hashes, "h bigint")))
+    schema = StructType([StructField("id", kind(df, id_col)), StructField("n", IntegerType()), StructField("a", LongType()), StructField("b", LongType()), StructField("s", ArrayType(LongType()))])
+    rows = scratch.keep(src.mapInArrow(_prints(seen), schema), "rows")
+    heads = scratch.keep(rows.groupBy("n", "a", "b").agg(F.min(F.struct("id", "s")).alias("p")).select("n", "a", "b", F.col("p.id").alias("id"), F.col("p.s").alias("s")), "heads")
+    classes = rows.select("id", "n", "a", "b").join(heads.select("n", "a", "b", F.col("id").alias("class_id")), ["n", "a", "b"])
+    classes = classes.groupBy("id").agg(F.min("class_id").alias("class_id"))
+    points = heads.select("id", "n", "s").filter((F.size("s") > 0) & (F.size("s") >= F.ceil(F.col("n") * threshold - 1e-9)))
     own = F.col("n") - F.size("s")
     prefix = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - own).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
@@ -145,7 +138,7 @@ def fingerprint_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     class_id: the least id among the documents of one fingerprint. links: how many other classes have a fingerprint whose Jaccard
     similarity with this one is at least the threshold; every pair counts. Documents without a spot have no fingerprint: those of one text
     are a class, and have no links. Null and empty texts and rows with a null id are not in the result. Texts of any length are read whole. Rows that
-    share an id must be copies; else the least fingerprint and all its spots stand for them. An empty table gives an empty result. Other columns are not read.
+    share an id must be copies; else the id is in the least class among theirs. An empty table gives an empty result. Other columns are not read.
     """
     classes, pairs = _classes_and_pairs(df, id_col, text_col, threshold)
     links = pairs.select(F.explode(F.array("ia", "ib")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
