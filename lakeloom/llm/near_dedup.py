@@ -267,17 +267,27 @@ def _level(threshold: float):
     return run
 
 
-def _split_hot(level: DataFrame) -> DataFrame:
-    """level with part: nodes of more than HOT rows are spread; all their parts get the rim, and the same sample to find leaders in."""
-    hot = level.groupBy("node").count().filter(F.col("count") > HOT)
-    hot = hot.select(F.col("node").alias("_node"), F.ceil(F.col("count") / HOT).cast("int").alias("_parts"), (F.lit(4.0 * SMALL) / F.col("count")).alias("_share"))
+def _split_hot(level: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """level with part: nodes of more than HOT rows are spread; all their parts get the rim, and the same sample to find leaders in.
+
+    What is hot is estimated from the documents of one in rate hashes: how a node is spread changes no link but by the leaders' sample.
+    """
+    names = ["node", "part", "used", "role", "x", "sketch"]
+    rate = max(1, HOT // 500)
+    some = level.filter(F.pmod(F.xxhash64(F.xxhash64("x")), F.lit(rate)) == 0).groupBy("node").count().select("node", (F.col("count") * rate).alias("count"))
+    hot = some.filter(F.col("count") > HOT).select(F.col("node").alias("_node"), F.ceil(F.col("count") / HOT).cast("int").alias("_parts"), (F.lit(4.0 * SMALL) / F.col("count")).alias("_share"))
+    hot = scratch.keep(hot, name)
+    many = hot.count()
+    if not many:
+        return level.withColumn("part", F.lit(0)).select(*names)
+    if many <= 100_000:  # 2 MB
+        hot = F.broadcast(hot)
     rows = level.join(hot, F.col("node") == F.col("_node"), "left").withColumn("_u", F.xxhash64("x"))
     every = F.sequence(F.lit(0), F.col("_parts") - 1)
     mine = F.array(F.coalesce(F.pmod("_u", F.col("_parts")), F.lit(0)).cast("int"))
     rows = rows.withColumn("part", F.explode(F.when((F.col("role") == RIM) & F.col("_parts").isNotNull(), every).otherwise(mine)))
     picked = (F.col("role") == PLAIN) & F.col("_parts").isNotNull() & (F.pmod(F.xxhash64("_u"), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
     lead = level.join(hot, F.col("node") == F.col("_node")).withColumn("_u", F.xxhash64("x")).filter(picked).withColumn("role", F.lit(LEAD).cast("tinyint")).withColumn("part", F.explode(every))
-    names = ["node", "part", "used", "role", "x", "sketch"]
     return rows.select(*names).unionByName(lead.select(*names))
 
 
@@ -291,7 +301,7 @@ def _edges(points: DataFrame, scratch: Scratch, threshold: float, trees: range,
     found, depth = None, 0
     while True:
         depth += 1
-        ordered = _split_hot(level).repartition("node", "part").sortWithinPartitions("node", "part", "role", "x")
+        ordered = _split_hot(level, scratch, f"tree{trees.start}hot{depth}").repartition("node", "part").sortWithinPartitions("node", "part", "role", "x")
         done = scratch.keep(ordered.mapInArrow(_level(threshold), schema), f"tree{trees.start}level{depth}")
         edges = done.filter("node is null").select(F.col("x").alias("u"), F.col("y").alias("v"))
         found = edges if found is None else found.unionByName(edges)
