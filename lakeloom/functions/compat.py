@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,8 +37,3 @@ def date_bin(seconds: int, ts: Column, origin: str = "1970-01-01 00:00:00") -> C
     micros = F.timestamp_diff("MICROSECOND", zero, ts)
     width = F.lit(seconds * 1_000_000).cast("bigint")
     return F.timestamp_add("MICROSECOND", micros - F.pmod(micros, width), zero)
-
-
-def array_any_of(array: Column, *values: object) -> Column:
-    """True if the array holds any of the values."""
-    return reduce(lambda x, y: x | y, [F.array_contains(array, v) for v in values], F.lit(False))

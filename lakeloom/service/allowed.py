@@ -8,8 +8,8 @@ UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction
 InsertIntoStatement DeleteFromTable UpdateTable""".split()
 )
 
-#: Unresolved expressions that stand for a column, a star or a part of one; functions are held against FUNCTIONS by name.
-UNRESOLVED = frozenset("UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedStar UnresolvedStarExcept UnresolvedStarExceptOrReplace UnresolvedRegex UnresolvedOrdinal UnresolvedInlineTable UnresolvedNamedLambdaVariable UnresolvedWindowExpression UnresolvedCollation UnresolvedSubqueryColumnAliases".split())
+#: Expressions before resolution that stand for a column, a star, a part of one or an assignment; functions are held against FUNCTIONS by name.
+UNRESOLVED = frozenset("Assignment UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedStar UnresolvedStarExcept UnresolvedStarExceptOrReplace UnresolvedRegex UnresolvedOrdinal UnresolvedInlineTable UnresolvedNamedLambdaVariable UnresolvedWindowExpression UnresolvedCollation UnresolvedSubqueryColumnAliases".split())
 
 #: Built-in functions that compute from their arguments: none calls Java methods, reads files or tells of the server.
 FUNCTIONS = frozenset(

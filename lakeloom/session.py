@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -18,6 +21,8 @@ def build_session(app: str = "lakeloom", master: str | None = None, **conf: obje
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # a shuffled join hashes a side only where each of its partitions is known to be small
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     }
     for key, value in (defaults | {k.replace("_", "."): str(v) for k, v in conf.items()}).items():
         b = b.config(key, value)
@@ -34,8 +39,18 @@ def register_directory(spark: SparkSession, directory: str, names: tuple[str, ..
     register_listing_tables(spark, {n: f"{directory.rstrip('/')}/{n}.parquet" for n in names})
 
 
+_schemas: dict[tuple[str, float], StructType] = {}
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    """A Parquet table. Its schema is read once for each state of a local path, so that later calls need no job for it."""
+    path = f"{directory.rstrip('/')}/{name}.parquet"
+    key = (path, os.stat(path).st_mtime) if os.path.exists(path) else None
+    if key is None:
+        return spark.read.parquet(path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def physical_plan(spark: SparkSession, sql: str) -> str:

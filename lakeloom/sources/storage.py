@@ -47,7 +47,7 @@ class Storage:
 
     def configure(self, spark: SparkSession) -> None:
         """Hadoop options of the object store; credentials come from its default provider chain."""
-        if self.kind == "memory" and not spark.sparkContext.master.startswith("local"):
+        if self.kind == "memory" and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("memory storage can't be read by other machines; name a shared root")
         if self.kind != "s3":
             return
@@ -66,3 +66,15 @@ def file_system(spark: SparkSession, path: str):
     """(Hadoop file system, Hadoop path) of path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; one of this machine only on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    found = "file://" + tempfile.mkdtemp(prefix="lakeloom-")
+    spark.conf.set("spark.checkpoint.dir", found)
+    return found
