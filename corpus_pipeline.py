@@ -59,7 +59,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     taken = mixing.mix(docs, [domain(F.col("source")), F.col("lang"), F.col("source")], mixing.tokens(F.col("text")), "doc_id", fraction=MIX_FRACTION, weights=WEIGHTS, max_epochs=1)
     taken = taken.select(F.col("doc_id").alias("_taken_id")).distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken_id"]) & (mixing.tokens(docs["text"]) > 0), "left_semi")
+    some = F.trim(F.translate(docs["text"], "\t\n\r", "   ")) != ""
+    return docs.filter(some).join(taken, docs["doc_id"].eqNullSafe(taken["_taken_id"]), "left_semi")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
