@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compat
 from ..session import TABLES, table
-from . import engine_queries
+from . import engine_queries, ranks
 
 SPARK: dict[str, str] = {}
 DUCK: dict[str, str] = {}
@@ -144,7 +144,13 @@ def trunc_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", compat.trunc_number(F.col("c_acctbal")).alias("whole"))
 
 
-QUERIES |= {"gcd_lcm": gcd_lcm, "date_bin": date_bin, "trunc_number": trunc_number} | engine_queries.QUERIES
+def rank_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement of this name, whose three partitions would be three tasks."""
+    out = ranks.ranked(table(spark, sf_dir, "orders"), "o_orderstatus", ["o_totalprice", "o_orderkey"], "o_orderpriority", ["o_orderkey"])
+    return out.select("o_orderkey", "rn", "r", "dr", F.round("pr", 6).alias("pr"), F.round("cd", 6).alias("cd"), "nt")
+
+
+QUERIES |= {"gcd_lcm": gcd_lcm, "date_bin": date_bin, "trunc_number": trunc_number, "rank_family": rank_family} | engine_queries.QUERIES
 DUCK |= {
     "gcd_lcm": "SELECT p_partkey, CAST(gcd(p_partkey, p_size) AS BIGINT) AS gcd, CAST(lcm(p_partkey, p_size) AS BIGINT) AS lcm FROM part",
     "date_bin": "SELECT strftime(time_bucket(INTERVAL '90 minutes', ts, TIMESTAMP '1970-01-01 00:10:00'), '%Y-%m-%d %H:%M:%S') AS bin, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1",
