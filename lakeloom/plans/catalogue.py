@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import compat
@@ -150,7 +150,25 @@ def rank_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "rn", "r", "dr", F.round("pr", 6).alias("pr"), F.round("cd", 6).alias("cd"), "nt")
 
 
-QUERIES |= {"gcd_lcm": gcd_lcm, "date_bin": date_bin, "trunc_number": trunc_number, "rank_family": rank_family} | engine_queries.QUERIES
+def range_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement of this name over stretches of 65,536 keys, not whole nations; a row within 50 keys of an end also counts in the next stretch."""
+    key, own = F.col("c_custkey"), F.shiftright("c_custkey", 16)
+    place = key.bitwiseAND(65535)
+    among = F.when(place < 50, F.array(own, own - 1)).when(place >= 65536 - 50, F.array(own, own + 1)).otherwise(F.array(own))
+    w = Window.partitionBy("c_nationkey", "stretch").orderBy("c_custkey").rangeBetween(-50, 50)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.explode(among).alias("stretch"))
+    return rows.withColumn("near", F.count("*").over(w)).filter(F.col("stretch").eqNullSafe(own)).select("c_custkey", "near")
+
+
+def groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement of this name by the number of rows of each group. Nulls come last, as DuckDB sorts."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    w = Window.partitionBy("n").orderBy(F.col("g").asc_nulls_last()).rowsBetween(-1, 1)
+    groups = rows.groupBy(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("g")).count().select("n", "g", F.sum("count").over(w).alias("near"))
+    return rows.join(groups, F.col("c_nationkey").eqNullSafe(F.col("n")) & F.col("c_mktsegment").eqNullSafe(F.col("g"))).select("c_custkey", "near")
+
+
+QUERIES |= {"gcd_lcm": gcd_lcm, "date_bin": date_bin, "trunc_number": trunc_number, "rank_family": rank_family, "range_frame": range_frame, "groups_frame": groups_frame} | engine_queries.QUERIES
 DUCK |= {
     "gcd_lcm": "SELECT p_partkey, CAST(gcd(p_partkey, p_size) AS BIGINT) AS gcd, CAST(lcm(p_partkey, p_size) AS BIGINT) AS lcm FROM part",
     "date_bin": "SELECT strftime(time_bucket(INTERVAL '90 minutes', ts, TIMESTAMP '1970-01-01 00:10:00'), '%Y-%m-%d %H:%M:%S') AS bin, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1",
